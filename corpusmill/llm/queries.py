@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, sharding
+from . import fingerprints, mixing, near_dedup, packing, sharding, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_external_shuffle": sharding.op1_external_shuffle,
+    "op2_minhash_near_dedup": near_dedup.op2_minhash_near_dedup,
+    "op3_threshold_topk": topk.op3_threshold_topk,
+    "op7_url_filter": url_filter.op7_url_filter,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_simhash_fingerprints": fingerprints.op9_simhash_fingerprints,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_threshold_topk": topk.SQL,
+    "op7_url_filter": url_filter.SQL,
+}
