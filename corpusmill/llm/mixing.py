@@ -54,7 +54,7 @@ def mix_to_weights(
     share: float = 1.5,
     cap: float = 2.0,
     seed: int = 8,
-    range_rows: int = 8192,
+    range_rows: int = 2048,
     max_sources: int = 1_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -65,13 +65,14 @@ def mix_to_weights(
     A text isn't needed after its words are counted: if the caller doesn't select it, Catalyst leaves it out of the shuffle.
     """
     spark = docs.sparkSession
-    skey, fine, key, before, full, part = (free_name(docs, n) for n in ("skey", "fine", "key", "before", "full", "part"))
+    skey, fine, key, tie, before, full, part = (free_name(docs, n) for n in ("skey", "fine", "key", "tie", "before", "full", "part"))
     n_fine = 1 << max(0, math.ceil(math.log2(max(1, docs.count() / range_rows))))
     digits = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
     sized = (
         docs.withColumn("size", n_words(text_col))
         .withColumn(skey, F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")))
         .withColumn(key, digits)
+        .withColumn(tie, F.xxhash64(text_col))
         # the key's first 28 bits, scaled to the number of ranges
         .withColumn(fine, F.floor(F.conv(F.substring(key, 1, 7), 16, 10).cast("long") * n_fine / (1 << 28)).cast("int"))
     )
@@ -89,10 +90,10 @@ def mix_to_weights(
     starts = sums.join(F.broadcast(each), skey).select(
         skey, fine, "source_size", "target", full, part, (F.sum("words").over(Window.partitionBy(skey).orderBy(fine)) - F.col("words")).alias(before)
     )
-    order = Window.partitionBy(skey, fine).orderBy(key, F.xxhash64(text_col)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy(skey, fine).orderBy(key, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = F.col(before) + F.sum("size").over(order) - F.col("size")
     cut_here = F.greatest(F.lit(0), F.least(F.col("size"), F.col(part) - ahead))
-    return sized.join(starts, [skey, fine]).withColumn("taken", F.col(full) * F.col("size") + cut_here).drop(skey, fine, key, before, full, part)
+    return sized.join(starts, [skey, fine]).withColumn("taken", F.col(full) * F.col("size") + cut_here).drop(skey, fine, key, tie, before, full, part)
 
 
 def apply_mix(mixed: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
