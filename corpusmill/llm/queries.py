@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, near_dedup, packing, repeats, sharding, topk, toxicity, url_filter
+from . import fingerprints, mixing, near_dedup, packing, pii, repeats, sharding, topk, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_external_shuffle": sharding.op1_external_shuffle,
     "op2_minhash_near_dedup": near_dedup.op2_minhash_near_dedup,
     "op3_threshold_topk": topk.op3_threshold_topk,
+    "op4_pii": pii.op4_pii,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_repeated_bytes": repeats.op6_repeated_bytes,
     "op7_url_filter": url_filter.op7_url_filter,

@@ -35,6 +35,8 @@ TARGETS = frozenset("you your yours yourself u ur he him his she her they them t
 NEGATIONS = frozenset("not no never none nobody isnt arent wasnt dont doesnt didnt cannot cant without hardly".split())
 REPORTING = frozenset("said says say saying told tells wrote writes quoted quote quotes claimed claims alleged allegedly called reportedly according".split())
 SCOPE = 3
+#: A document's sum counts up to here.
+MOST = 30.0
 #: Letters of a word's beginning that may be a term.
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 _CLAUSE = re.compile(r"[.!?;:\n\r]")
@@ -207,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str =
     terms = fixed_terms() | learned_terms(texts)
     pairs = raw_scores(texts, terms, "text", "x").select("x", "toxic").limit(2 * sample).collect()  # bounded by the sample
     if len({r["toxic"] for r in pairs}) == 2:
-        slope, intercept = fit_logistic(np.array([min(r["x"], 30.0) for r in pairs]), np.array([float(r["toxic"]) for r in pairs]))
+        slope, intercept = fit_logistic(np.array([min(r["x"], MOST) for r in pairs]), np.array([float(r["toxic"]) for r in pairs]))
     else:
         slope, intercept = 1.0, -2.0
     return {"terms": terms, "slope": slope, "intercept": intercept}
@@ -216,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str =
 def score_documents(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
     """docs with the score (0 to 1) and whether it is 0.5 or more."""
     raw = raw_scores(docs, model["terms"], text_col, "_raw")
-    z = F.lit(model["slope"]) * F.least("_raw", F.lit(30.0)) + F.lit(model["intercept"])
+    z = F.lit(model["slope"]) * F.least("_raw", F.lit(MOST)) + F.lit(model["intercept"])
     return raw.withColumn(score_col, 1 / (1 + F.exp(-z))).withColumn(predicted_col, (F.col(score_col) >= 0.5).cast("int")).drop("_raw")
 
 
