@@ -5,10 +5,10 @@ the shingles over a circle, the other, shifted by 0, 1, 2, ... steps, gives all
 candidates together, and every link is confirmed on the full sets before it counts.
 
 Equal sets become one class first, so copies never meet in a bucket. In each bucket all members are compared with the
-bucket's centre (linear in its size); links join components. Only buckets that still hold several components are looked at
-again: small ones compare all members of different components; large ones take further centres first, so that what belongs
-together has come together, and then compare what is left across components too. So no candidate pair that could change
-a component is left out, and a large group of copies isn't expanded into its pairs.
+bucket's centre, the member that meets others most often (linear in its size); links join components. Only members of
+buckets that still hold several components are looked at again: sketches of the signatures are compared in the task, and
+pairs across components that may reach the threshold are verified too. So a large group of copies comes together around
+its centre and isn't expanded into its pairs, and no candidate pair that could join two components is left out.
 
 Defined cases. Null or blank text: empty set, linked with nothing, a component of its own. Fewer than k words: the whole
 sequence is the one shingle. Repeated rows: one component. Null doc_id: takes part, but gives its component no id; a
@@ -29,7 +29,7 @@ from .common import blocks_of, cut, table
 from .graph import components
 from .kernels import band_keys, circulant, set_hash, shingles
 
-SMALL = 32
+TILE = 4096
 
 
 def _row_key(id_col: str, text_col: str):
@@ -37,26 +37,28 @@ def _row_key(id_col: str, text_col: str):
 
 
 def sketches(docs: DataFrame, k: int, n_hashes: int, rows: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, row_key, n_shingles, set_key, bands): set_key and bands are null for empty sets."""
+    """(doc_id, row_key, n_shingles, set_key, bands, sketch): the last three are null for empty sets."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         circle = circulant(n_hashes, seed)
         for batch in batches:
             texts = [(x or "").encode() for x in batch.column(2).to_pylist()]
-            sizes, keys, bands = [], [], []
+            sizes, keys, bands, marks = [], [], [], []
             for a, b in blocks_of(texts):
                 for each in shingles(texts[a:b], k):
                     own = np.unique(each)
                     sizes.append(len(own))
                     keys.append(set_hash(own) if len(own) else None)
-                    bands.append(band_keys(circle.signature(own), rows) if len(own) else None)
+                    signature = circle.signature(own) if len(own) else None
+                    bands.append(band_keys(signature, rows) if len(own) else None)
+                    marks.append(signature.astype(np.uint8).tobytes() if len(own) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "row_key", "n_shingles", "set_key", "bands"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
+                names=["doc_id", "row_key", "n_shingles", "set_key", "bands", "sketch"],
             )
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), _row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
-    return own.mapInArrow(make, "doc_id long, row_key long, n_shingles long, set_key long, bands array<long>")
+    return own.mapInArrow(make, "doc_id long, row_key long, n_shingles long, set_key long, bands array<long>, sketch binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -80,6 +82,43 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v").mapInArrow(check, "u long, v long")
 
 
+def across(crowded: DataFrame, percent: int, n_hashes: int) -> DataFrame:
+    """Pairs (u, v) of members of a bucket in different components that sizes and sketches don't rule out.
+
+    The sketches (a byte of each coordinate) are compared in the task, so pairs come out only where the estimate is within
+    five standard deviations of the threshold. A bucket over TILE members is cut into tiles that are compared two by two.
+    """
+    t = percent / 100
+    least = (t - 5 * (t * (1 - t) / n_hashes) ** 0.5) * n_hashes
+    cuts = F.ceil(F.col("size") / TILE).cast("int")
+    own = F.pmod(F.xxhash64("set_key"), cuts).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), cuts - 1), lambda i: F.struct(F.least(own, i).alias("a"), F.greatest(own, i).alias("b")))
+    dealt = crowded.select("band", "comp", "set_key", "n", "sketch", own.alias("own"), F.explode(tiles).alias("t")).select("band", "comp", "set_key", "n", "sketch", "own", "t.a", "t.b")
+
+    def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        comp, keys, sizes, own = (rows.column(c).to_numpy() for c in ("comp", "set_key", "n", "own"))
+        marks = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(keys), -1)
+        a, b = key[1].as_py(), key[2].as_py()
+        names, each = np.unique(comp, return_inverse=True)
+        most = np.bincount(each).argmax()
+        # the members of the largest component needn't look for others: the others look for them
+        left = np.flatnonzero((each != most) & (own == a)) if a == b else np.flatnonzero(own == a)
+        right = np.flatnonzero(own == b)
+        us, vs = [keys[:0]], [keys[:0]]
+        step = max(1, (1 << 24) // max(1, len(right) * marks.shape[1]))
+        for i in range(0, len(left), step):
+            l = left[i : i + step]
+            alike = np.count_nonzero(marks[l, None, :] == marks[None, right, :], axis=2) >= least
+            near = 100 * np.minimum(sizes[l, None], sizes[None, right]) >= percent * np.maximum(sizes[l, None], sizes[None, right])
+            x, y = np.nonzero(alike & near & (comp[l, None] != comp[None, right]))
+            us.append(keys[l[x]])
+            vs.append(keys[right[y]])
+        u, v = np.concatenate(us), np.concatenate(vs)
+        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+    return dealt.groupBy("band", "a", "b").applyInArrow(compare, "u long, v long")
+
+
 def near_duplicates(
     docs: DataFrame,
     k: int = 5,
@@ -94,12 +133,17 @@ def near_duplicates(
     """One row for each document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept, set_key."""
     sketch = cut(sketches(docs, k, n_hashes, rows, seed, id_col, text_col), "sketches")
     classes = cut(
-        sketch.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
+        sketch.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
         "classes",
     )
     members = classes.select("set_key", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.count("*").alias("size"), F.min("set_key").alias("centre")).where("size > 1")
+    buckets = members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     shared = cut(members.join(buckets, "band"), "buckets")
+    # the text that copies were made from meets each of them in more buckets than they meet each other: the best centre
+    degrees = shared.groupBy("set_key").agg(F.sum("size").alias("degree"))
+    shared = cut(shared.join(degrees, "set_key"), "shared")
+    hub = F.max_by("set_key", F.struct("degree", "set_key"))
+    centres = shared.groupBy("band").agg(hub.alias("centre"))
     sizes = classes.select("set_key", "n")
 
     def likely(pairs: DataFrame) -> DataFrame:
@@ -116,39 +160,14 @@ def near_duplicates(
         texts = docs.select(_row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text")).join(wanted, "row_key").select("set_key", "text")
         return cut(verified(pairs, cut(texts.dropDuplicates(["set_key"]), "texts"), k, percent), "links")
 
-    found = links(shared.where("set_key != centre").select(F.col("centre").alias("u"), F.col("set_key").alias("v")))
+    found = links(shared.join(centres, "band").where("set_key != centre").select(F.col("centre").alias("u"), F.col("set_key").alias("v")))
     roots = components(found)
-    crowded = shared.where("size > 2").select("band", "set_key", "size")
-    for turn in range(4):
-        placed = crowded.join(roots, crowded.set_key == roots.node, "left").select("band", "set_key", "size", F.coalesce("root", "set_key").alias("comp"))
-        mixed = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("set_key", F.xxhash64("set_key", F.lit(turn))).alias("pivot"))
-        crowded = cut(placed.join(mixed.where("low < high"), "band"), "crowded")
-        n_small, n_large = crowded.agg(F.count_if(F.col("size") <= SMALL), F.count_if(F.col("size") > SMALL)).first()
-        if not n_small and not n_large:
-            break
-        pairs = None
-        if n_small:
-            lists = crowded.where(F.col("size") <= SMALL).groupBy("band").agg(F.collect_list(F.struct("comp", "set_key")).alias("xs"))
-            across = "explode(flatten(transform(xs, x -> transform(filter(xs, y -> y.comp > x.comp), y -> struct(x.set_key as u, y.set_key as v))))) as p"
-            pairs = lists.select(F.expr(across)).select("p.u", "p.v")
-        if n_large:
-            large = crowded.where(F.col("size") > SMALL)
-            if turn < 3:
-                pivots = large.where("set_key = pivot").select("band", F.col("set_key").alias("u"), F.col("comp").alias("own"))
-                more = large.join(pivots, "band").where("comp != own").select("u", F.col("set_key").alias("v"))
-            else:
-                left = large.select("band", F.col("set_key").alias("u"), F.col("comp").alias("cu"))
-                right = large.select("band", F.col("set_key").alias("v"), F.col("comp").alias("cv"))
-                more = left.join(right, "band").where("cu < cv").select("u", "v")
-            pairs = more if pairs is None else pairs.unionByName(more)
-        new = links(pairs)
-        crowded = crowded.where(F.col("size") > SMALL).select("band", "set_key", "size")
-        if new.isEmpty():
-            if not n_large:
-                break
-            continue
-        found = found.unionByName(new)
-        roots = components(found)
+    placed = shared.where("size > 2").join(roots, shared.set_key == roots.node, "left").select("band", "set_key", "size", F.coalesce("root", "set_key").alias("comp"))
+    mixed = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
+    crowded = placed.join(mixed, "band", "left_semi").join(classes.select("set_key", "n", "sketch"), "set_key")
+    new = links(across(crowded, percent, n_hashes))
+    if not new.isEmpty():
+        roots = components(found.unionByName(new))
     named = classes.join(roots, classes.set_key == roots.node, "left").select("set_key", "rep", F.coalesce("root", "set_key").alias("comp"))
     ids = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of_set = named.join(ids, "comp").select("set_key", "component_id")
