@@ -100,7 +100,7 @@ _TF = "c * 2.2 / (c + 1.2 * (1 - 0.75 + 0.75 * n / 256.0))"
 def _sparse_sql(words: str, k: int, digits: int = 6) -> str:
     terms = {w: words.split().count(w) for w in words.split()}
     values = ", ".join(f"('{w}', {n})" for w, n in terms.items())
-    return f"""t AS (SELECT doc_id, len({_TOKS}) AS n, unnest({_TOKS}) AS term FROM documents),
+    return f"""t AS (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM (SELECT doc_id, {_TOKS} AS w FROM documents)),
     c AS (SELECT doc_id, n, term, count(*) AS c FROM t GROUP BY ALL), w(term, qw) AS (VALUES {values}),
     s AS (SELECT doc_id, round(sum(qw * {_TF}), {digits}) AS score FROM c JOIN w USING (term) GROUP BY doc_id),
     sparse AS (SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= {k})"""
@@ -111,7 +111,7 @@ def tf_saturation_search(spark, d):
     return R.sparse_search(_t(spark, d, "documents"), QUERY, 20)
 
 
-@query("sparse_weights", f"WITH t AS (SELECT doc_id, len({_TOKS}) AS n, unnest({_TOKS}) AS term FROM documents), c AS (SELECT doc_id, n, term, count(*) AS c FROM t GROUP BY ALL) SELECT doc_id, count(*) AS terms, round(sum({_TF}), 4) AS weight FROM c GROUP BY doc_id")
+@query("sparse_weights", f"WITH t AS (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM (SELECT doc_id, {_TOKS} AS w FROM documents)), c AS (SELECT doc_id, n, term, count(*) AS c FROM t GROUP BY ALL) SELECT doc_id, count(*) AS terms, round(sum({_TF}), 4) AS weight FROM c GROUP BY doc_id")
 def sparse_weights(spark, d):
     return R.term_weights(_t(spark, d, "documents")).groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 4).alias("weight"))
 
