@@ -138,10 +138,12 @@ def resolved(text: Column, consts: Column, passes: int = 11, unknown: str = "kee
 
 def references(scripts: DataFrame, passes: int = 4) -> DataFrame:
     """(doc_id, path, type, target) of every read, write and import; targets resolved and normalised, open placeholders as *."""
-    parts = [
-        F.transform(F.regexp_extract_all("text", F.lit(rf'(?m)^\s*{verb}\b[^"\n]*"([^"\n]+)"'), F.lit(1)), lambda t, verb=verb, kind=kind: F.struct(F.lit(kind).alias("type"), t.alias("raw")))
-        for verb, kind in (("read", "reads"), ("write", "writes"), ("import", "imports"))
-    ]
+
+    def of(verb: str, kind: str) -> Column:
+        found = F.regexp_extract_all("text", F.lit(rf'(?m)^\s*{verb}\b[^"\n]*"([^"\n]+)"'), F.lit(1))
+        return F.transform(found, lambda t: F.struct(F.lit(kind).alias("type"), t.alias("raw")))
+
+    parts = [of("read", "reads"), of("write", "writes"), of("import", "imports")]
     found = scripts.withColumn("consts", constants(F.col("text"))).select("doc_id", "path", "consts", F.explode(F.concat(*parts)).alias("r"))
     target = T.normalized_path(F.regexp_replace(resolved(F.col("r.raw"), F.col("consts"), passes), r"\{\w*\}", "*"))
     return found.select("doc_id", "path", F.col("r.type").alias("type"), target.alias("target"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("search", "lexical")
+MODULES: tuple[str, ...] = ("search", "lexical", "parsing", "graph")
 
 
 def load() -> None:
