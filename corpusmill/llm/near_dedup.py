@@ -6,8 +6,9 @@ candidates together, and every link is confirmed on the full sets before it coun
 
 Equal sets become one class first, so copies never meet in a bucket. In each bucket all members are compared with the
 bucket's centre, the member that meets others most often (linear in its size); links join components. Only members of
-buckets that still hold several components are looked at again: sketches of the signatures are compared in the task, and
-pairs across components that may reach the threshold are verified too. So a large group of copies comes together around
+buckets that still hold several components are looked at again: buckets led by the same component are one crowd, and the
+sets outside of its leading component are compared with all others of the crowd, exactly, in the task (tile by tile, if the
+crowd is large); what comes out is one link for each set and component. So a large group of copies comes together around
 its centre and isn't expanded into its pairs, and no candidate pair that could join two components is left out.
 
 Defined cases. Null or blank text: empty set, linked with nothing, a component of its own. Fewer than k words: the whole
@@ -37,28 +38,26 @@ def _row_key(id_col: str, text_col: str):
 
 
 def sketches(docs: DataFrame, k: int, n_hashes: int, rows: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, row_key, n_shingles, set_key, bands, sketch): the last three are null for empty sets."""
+    """(doc_id, row_key, n_shingles, set_key, bands): the last two are null for empty sets."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         circle = circulant(n_hashes, seed)
         for batch in batches:
             texts = [(x or "").encode() for x in batch.column(2).to_pylist()]
-            sizes, keys, bands, marks = [], [], [], []
+            sizes, keys, bands = [], [], []
             for a, b in blocks_of(texts):
                 for each in shingles(texts[a:b], k):
                     own = np.unique(each)
                     sizes.append(len(own))
                     keys.append(set_hash(own) if len(own) else None)
-                    signature = circle.signature(own) if len(own) else None
-                    bands.append(band_keys(signature, rows) if len(own) else None)
-                    marks.append(signature.astype(np.uint8).tobytes() if len(own) else None)
+                    bands.append(band_keys(circle.signature(own), rows) if len(own) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
-                names=["doc_id", "row_key", "n_shingles", "set_key", "bands", "sketch"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", "row_key", "n_shingles", "set_key", "bands"],
             )
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), _row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
-    return own.mapInArrow(make, "doc_id long, row_key long, n_shingles long, set_key long, bands array<long>, sketch binary")
+    return own.mapInArrow(make, "doc_id long, row_key long, n_shingles long, set_key long, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -82,41 +81,60 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v").mapInArrow(check, "u long, v long")
 
 
-def across(crowded: DataFrame, percent: int, n_hashes: int) -> DataFrame:
-    """Pairs (u, v) of members of a bucket in different components that sizes and sketches don't rule out.
+def set_table(texts: DataFrame, k: int) -> DataFrame:
+    """(set_key, shingles): each text's set as sorted 64-bit hashes."""
 
-    The sketches (a byte of each coordinate) are compared in the task, so pairs come out only where the estimate is within
-    five standard deviations of the threshold. A bucket over TILE members is cut into tiles that are compared two by two.
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [x.encode() for x in batch.column(1).to_pylist()]
+            sets = [np.unique(x).tobytes() for a, b in blocks_of(data) for x in shingles(data[a:b], k)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["set_key", "shingles"])
+
+    return texts.select("set_key", "text").mapInArrow(make, "set_key long, shingles binary")
+
+
+def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> Iterator[np.ndarray]:
+    """For each left set a mask of the right sets that it is linked with; by an inverted index of the right ones."""
+    sizes = np.array([len(x) for x in right])
+    values, which = np.unique(np.concatenate(right), return_inverse=True)
+    owner = np.repeat(np.arange(len(right)), sizes)[np.argsort(which, kind="stable")]
+    at = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(values)))])
+    for own in left:
+        i = np.minimum(np.searchsorted(values, own), len(values) - 1)
+        i = i[values[i] == own]
+        lists = [owner[at[j] : at[j + 1]] for j in i.tolist()]
+        common = np.bincount(np.concatenate(lists), minlength=len(right)) if lists else np.zeros(len(right), dtype=np.int64)
+        yield 100 * common >= percent * (len(own) + sizes - common)
+
+
+def across(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between different components of a crowd: for each set outside of the crowd's leading component one link to each component that it has any with.
+
+    crowded: (lead, set_key, comp). A crowd of over TILE sets is cut into tiles that are compared two by two.
     """
-    t = percent / 100
-    least = (t - 5 * (t * (1 - t) / n_hashes) ** 0.5) * n_hashes
-    cuts = F.ceil(F.col("size") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("set_key"), cuts).cast("int")
-    tiles = F.transform(F.sequence(F.lit(0), cuts - 1), lambda i: F.struct(F.least(own, i).alias("a"), F.greatest(own, i).alias("b")))
-    dealt = crowded.select("band", "comp", "set_key", "n", "sketch", own.alias("own"), F.explode(tiles).alias("t")).select("band", "comp", "set_key", "n", "sketch", "own", "t.a", "t.b")
+    counts = crowded.groupBy("lead").agg(F.ceil(F.count("*") / TILE).cast("int").alias("cuts"))
+    own = F.pmod(F.xxhash64("set_key"), F.col("cuts")).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda i: F.struct(F.least(own, i).alias("a"), F.greatest(own, i).alias("b")))
+    dealt = crowded.join(counts, "lead").join(sets, "set_key").select("lead", "comp", "set_key", "shingles", own.alias("own"), F.explode(tiles).alias("t"))
+    dealt = dealt.select("lead", "comp", "set_key", "shingles", "own", "t.a", "t.b")
 
     def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        comp, keys, sizes, own = (rows.column(c).to_numpy() for c in ("comp", "set_key", "n", "own"))
-        marks = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(keys), -1)
-        a, b = key[1].as_py(), key[2].as_py()
-        names, each = np.unique(comp, return_inverse=True)
-        most = np.bincount(each).argmax()
-        # the members of the largest component needn't look for others: the others look for them
-        left = np.flatnonzero((each != most) & (own == a)) if a == b else np.flatnonzero(own == a)
-        right = np.flatnonzero(own == b)
-        us, vs = [keys[:0]], [keys[:0]]
-        step = max(1, (1 << 24) // max(1, len(right) * marks.shape[1]))
-        for i in range(0, len(left), step):
-            l = left[i : i + step]
-            alike = np.count_nonzero(marks[l, None, :] == marks[None, right, :], axis=2) >= least
-            near = 100 * np.minimum(sizes[l, None], sizes[None, right]) >= percent * np.maximum(sizes[l, None], sizes[None, right])
-            x, y = np.nonzero(alike & near & (comp[l, None] != comp[None, right]))
-            us.append(keys[l[x]])
-            vs.append(keys[right[y]])
-        u, v = np.concatenate(us), np.concatenate(vs)
-        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
-
-    return dealt.groupBy("band", "a", "b").applyInArrow(compare, "u long, v long")
+        lead, a, b = (x.as_py() for x in key)
+        comp, keys, own = (rows.column(c).to_numpy() for c in ("comp", "set_key", "own"))
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in rows.column("shingles").to_pylist()]
+        us, vs = [], []
+        # the leading component's sets needn't look for others: the others look for them
+        for left, right in [(comp != lead, own == b)] if a == b else [((own == a) & (comp != lead), own == b), ((own == b) & (comp != lead), (own == a) & (comp == lead))]:
+            x, y = np.flatnonzero(left), np.flatnonzero(right)
+            if len(x) and len(y):
+                for i, mask in zip(x.tolist(), linked([sets[i] for i in x], [sets[j] for j in y], percent), strict=True):
+                    hit = y[mask & (comp[y] != comp[i])]
+                    hit = hit[np.unique(comp[hit], return_index=True)[1]]
+                    us += [keys[i]] * len(hit)
+                    vs += keys[hit].tolist()
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return dealt.groupBy("lead", "a", "b").applyInArrow(compare, "u long, v long")
 
 
 def near_duplicates(
@@ -133,7 +151,7 @@ def near_duplicates(
     """One row for each document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept, set_key."""
     sketch = cut(sketches(docs, k, n_hashes, rows, seed, id_col, text_col), "sketches")
     classes = cut(
-        sketch.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
+        sketch.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
         "classes",
     )
     members = classes.select("set_key", F.explode("bands").alias("band"))
@@ -152,20 +170,27 @@ def near_duplicates(
         x = x.join(sizes.withColumnsRenamed({"set_key": "u", "n": "nu"}), "u").join(sizes.withColumnsRenamed({"set_key": "v", "n": "nv"}), "v")
         return x.where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")).select("u", "v")
 
-    def links(pairs: DataFrame) -> DataFrame:
-        pairs = cut(likely(pairs), "pairs")
-        wanted = pairs.select(F.explode(F.array("u", "v")).alias("set_key")).distinct().join(classes.select("set_key", "row_key"), "set_key")
+    def texts_of(keys: DataFrame) -> DataFrame:
+        """(set_key, text) of one document for each set."""
+        wanted = keys.join(classes.select("set_key", "row_key"), "set_key")
         if wanted.count() <= broadcast_rows:  # 16 bytes each
             wanted = F.broadcast(wanted)
         texts = docs.select(_row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text")).join(wanted, "row_key").select("set_key", "text")
-        return cut(verified(pairs, cut(texts.dropDuplicates(["set_key"]), "texts"), k, percent), "links")
+        return texts.dropDuplicates(["set_key"])
+
+    def links(pairs: DataFrame) -> DataFrame:
+        pairs = cut(likely(pairs), "pairs")
+        texts = texts_of(pairs.select(F.explode(F.array("u", "v")).alias("set_key")).distinct())
+        return cut(verified(pairs, cut(texts, "texts"), k, percent), "links")
 
     found = links(shared.join(centres, "band").where("set_key != centre").select(F.col("centre").alias("u"), F.col("set_key").alias("v")))
     roots = components(found)
     placed = shared.where("size > 2").join(roots, shared.set_key == roots.node, "left").select("band", "set_key", "size", F.coalesce("root", "set_key").alias("comp"))
-    mixed = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
-    crowded = placed.join(mixed, "band", "left_semi").join(classes.select("set_key", "n", "sketch"), "set_key")
-    new = links(across(crowded, percent, n_hashes))
+    parts = placed.groupBy("band", "comp").agg(F.count("*").alias("c"))
+    mixed = parts.groupBy("band").agg(F.max_by("comp", F.struct("c", "comp")).alias("lead"), F.count("*").alias("comps")).where("comps > 1").select("band", "lead")
+    # buckets led by the same component are one crowd, in which each set stands once
+    crowded = cut(placed.join(mixed, "band").select("lead", "set_key", "comp").distinct(), "crowded")
+    new = cut(across(crowded, set_table(texts_of(crowded.select("set_key").distinct()), k), percent), "links")
     if not new.isEmpty():
         roots = components(found.unionByName(new))
     named = classes.join(roots, classes.set_key == roots.node, "left").select("set_key", "rep", F.coalesce("root", "set_key").alias("comp"))
