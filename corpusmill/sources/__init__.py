@@ -1 +1,78 @@
+"""Sources and sinks: script folders, path mappings, question sets, indexes, logs. All paths go through Spark's readers and writers."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+def read_scripts(spark: SparkSession, *folders: str, glob: str = "*", recursive: bool = False) -> DataFrame:
+    """(file_id, file, text): a row for each file; the id is the name without extension. Files that several folders lead to count once."""
+    reader = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", recursive)
+    x = reader.text(list(folders), wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return x.dropDuplicates(["file"]).select(F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]*$", "").alias("file_id"), "file", "text")
+
+
+def write_scripts(scripts: DataFrame, folder: str) -> None:
+    """One text file for each row of (doc_id, text), in a folder of its own."""
+    scripts.select("text", F.col("doc_id")).write.partitionBy("doc_id").option("lineSep", "\0").mode("overwrite").text(folder)
+
+
+def read_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """(file_id, path) from lines `id,path`; the first comma parts them, blank lines and lines without one are skipped."""
+    parts = F.split("value", ",", 2)
+    return spark.read.text(path).where("value like '%,%'").select(F.trim(parts[0]).alias("file_id"), F.trim(parts[1]).alias("path"))
+
+
+def inverse_mapping(mapping: DataFrame) -> DataFrame:
+    """path to id; of a path with several ids the last one."""
+    return mapping.groupBy("path").agg(F.max_by("file_id", F.expr("try_cast(file_id as bigint)")).alias("file_id"))
+
+
+def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    """(question, answers, deterministic) of the answered questions of a set; answers newline-joined, numbers as text."""
+    kind = "answered array<struct<question: string, deterministic: boolean, answers: array<string>>>"
+    q = spark.read.schema(kind).json(path, multiLine=True).select(F.explode("answered").alias("q"))
+    return q.select("q.question", F.array_join("q.answers", "\n").alias("answers"), F.coalesce("q.deterministic", F.lit(False)).alias("deterministic"))
+
+
+def read_summaries(spark: SparkSession, path: str) -> DataFrame:
+    """(index, summary) of a JSON object index -> summary, by number."""
+    x = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
+    return x.select(F.explode("m").alias("k", "summary")).select(F.expr("try_cast(k as int)").alias("index"), "summary").where("index is not null").orderBy("index")
+
+
+def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """What a resumed job still has to do."""
+    return rows.join(done.select(key).distinct(), key, "left_anti")
+
+
+def save_index(vectors: DataFrame, path: str, kind: str = "full") -> None:
+    """Rows by kind of index, so that reading one kind touches its files only."""
+    vectors.withColumn("index_type", F.lit(kind)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("index_type").parquet(path)
+
+
+def load_index(spark: SparkSession, path: str, kind: str = "full") -> DataFrame:
+    return spark.read.parquet(path).where(F.col("index_type") == kind).drop("index_type")
+
+
+def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The last row of each key: an upsert of all writes in order."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
+
+
+def first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The first row of each key: what is written once stays."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc(order)))).where("_n = 1").drop("_n")
+
+
+def tail(spark: SparkSession, path: str, n: int, order: str) -> DataFrame:
+    """The last n entries of a JSON-lines log."""
+    return spark.read.json(path).orderBy(F.desc(order)).limit(n)
+
+
+def format_of(df: DataFrame) -> str:
+    """Which kind of report a JSON file holds, by its fields."""
+    names = set(df.schema.fieldNames())
+    return "statistics" if "tool_call_counts" in names else "benchmark" if {"results", "models"} & names or "score" in names else "unknown"
