@@ -6,7 +6,8 @@ fall into runs that share an anchor, and a run's context (the bytes that its win
 
 1. Each distinct text gives (anchor, context, place) for its runs - about one for every (length - k) / 2 bytes.
 2. Anchors that stand at one place only are done. Contexts that stand at several places are repeated in full.
-3. Where an anchor has different contexts, their windows are compared one by one, by their hashes.
+3. Where an anchor has different contexts, their windows go through 1 and 2 again with longer k-grams, and what is still
+   open is compared window by window, by hashes.
 4. Repeated windows become spans of their text, and the spans are cut out.
 
 All steps are counts, minima and joins with partial aggregation, so a passage or line in a third of all documents isn't
@@ -96,28 +97,54 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def repeated_ranges(docs: DataFrame, length: int, k: int, text_col: str, broadcast_rows: int) -> DataFrame:
-    """(tkey, start, n): n windows of the text with this key, from start on, stand elsewhere too. Exact copies don't count."""
-    keyed = docs.select(F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text")).where(F.octet_length("text") >= length)
+def merged_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same windows in ranges (first, count) that neither overlap nor touch."""
+    out: list[tuple[int, int]] = []
+    for a, n in sorted(ranges):
+        if out and a <= out[-1][0] + out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], a + n - out[-1][0]))
+        else:
+            out.append((a, n))
+    return out
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, texts = batch.column(0).to_numpy(), [x.encode() for x in batch.column(1).to_pylist()]
-            for a, b in blocks_of(texts):
-                doc, first, count, grams, contexts = runs_of_windows(texts[a:b], length, k)
-                arrays = [pa.array(x) for x in (keys[a + doc], first.astype(np.int32), count.astype(np.int32), grams, contexts)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["tkey", "start", "n", "anchor", "context"])
 
-    rows = cut(keyed.mapInArrow(anchors, "tkey long, start int, n int, anchor long, context long"), "anchors").withColumn("place", F.xxhash64("tkey", "start"))
+def repeated_ranges(docs: DataFrame, length: int, grams: tuple[int, ...], text_col: str, broadcast_rows: int) -> DataFrame:
+    """(tkey, start, n): n windows of the text with this key, from start on, stand elsewhere too. Exact copies don't count.
+
+    Each length in grams is a level: what contexts at one level leave open goes to the next, whose longer anchors are rarer
+    and whose contexts are shorter; what the last leaves open is compared window by window.
+    """
+    keyed = docs.select(F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text")).where(F.octet_length("text") >= length)
     ends = F.min("place").alias("low"), F.max("place").alias("high")
-    several = cut(rows.groupBy("anchor").agg(*ends).where("low != high").select("anchor"), "several")
-    shared = cut(rows.join(_small(several, broadcast_rows), "anchor", "left_semi"), "shared")
-    contexts = cut(shared.groupBy("anchor", "context").agg(*ends), "contexts")
-    open_ = contexts.groupBy("anchor").agg(F.count("*").alias("all"), F.count_if(F.col("low") == F.col("high")).alias("single")).where("all > 1 and single > 0").select("anchor", F.lit(True).alias("open"))
-    judged = cut(shared.join(contexts, ["anchor", "context"]).join(open_, "anchor", "left"), "judged")
-    whole = judged.where("low != high").select("tkey", "start", "n")
-    left = judged.where("open and (low = high or place = low)").groupBy("tkey").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
-    left = cut(left, "left")
+
+    def anchors_of(k: int):
+        def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys, texts = batch.column(0).to_numpy(), [x.encode() for x in batch.column(1).to_pylist()]
+                shift = np.zeros(len(texts), dtype=np.int64)
+                if batch.num_columns > 2:  # only the windows in these ranges, each range as a text of its own
+                    parts = [(i, a, n) for i, r in enumerate(batch.column(2).to_pylist()) for a, n in merged_ranges([(x["start"], x["n"]) for x in r])]
+                    which = np.array([i for i, _, _ in parts], dtype=np.int64)
+                    keys, shift, texts = keys[which], np.array([a for _, a, _ in parts], dtype=np.int64), [texts[i][a : a + n - 1 + length] for i, a, n in parts]
+                for a, b in blocks_of(texts):
+                    doc, first, count, grams_, contexts = runs_of_windows(texts[a:b], length, k)
+                    arrays = [pa.array(x) for x in (keys[a + doc], (shift[a + doc] + first).astype(np.int32), count.astype(np.int32), grams_, contexts)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["tkey", "start", "n", "anchor", "context"])
+
+        return anchors
+
+    wholes, source = [], keyed
+    for k in grams:
+        rows = cut(source.mapInArrow(anchors_of(k), "tkey long, start int, n int, anchor long, context long"), "anchors").withColumn("place", F.xxhash64("tkey", "start"))
+        several = cut(rows.groupBy("anchor").agg(*ends).where("low != high").select("anchor"), "several")
+        shared = cut(rows.join(_small(several, broadcast_rows), "anchor", "left_semi"), "shared")
+        contexts = cut(shared.groupBy("anchor", "context").agg(*ends), "contexts")
+        open_ = contexts.groupBy("anchor").agg(F.count("*").alias("all"), F.count_if(F.col("low") == F.col("high")).alias("single")).where("all > 1 and single > 0").select("anchor", F.lit(True).alias("open"))
+        judged = cut(shared.join(contexts, ["anchor", "context"]).join(open_, "anchor", "left").where("low != high or open").select("tkey", "start", "n", "low", "high", "place", "open"), "judged")
+        wholes.append(judged.where("low != high").select("tkey", "start", "n"))
+        # of a repeated context one place stands for all
+        left = judged.where("open and (low = high or place = low)").groupBy("tkey").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
+        source = keyed.join(_small(cut(left, "left"), broadcast_rows // 4), "tkey").select("tkey", "text", "ranges")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,18 +152,20 @@ def repeated_ranges(docs: DataFrame, length: int, k: int, text_col: str, broadca
                 starts, hashes = window_hashes(text.encode(), [(r["start"], r["n"]) for r in ranges], length)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), key)), pa.array(starts.astype(np.int32)), pa.array(hashes)], names=["tkey", "start", "window"])
 
-    single = keyed.join(_small(left, broadcast_rows // 4), "tkey").mapInArrow(windows, "tkey long, start int, window long")
-    single = cut(single, "windows").withColumn("place", F.xxhash64("tkey", "start"))
+    single = cut(source.mapInArrow(windows, "tkey long, start int, window long"), "windows").withColumn("place", F.xxhash64("tkey", "start"))
     again = single.groupBy("window").agg(*ends).where("low != high").select("window")
-    return whole.unionByName(single.join(again, "window", "left_semi").select("tkey", "start", F.lit(1).alias("n")))
+    out = single.join(again, "window", "left_semi").select("tkey", "start", F.lit(1).alias("n"))
+    for whole in wholes:
+        out = out.unionByName(whole)
+    return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, k: int = 64, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 4_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, grams: tuple[int, ...] = (64, 150), id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 4_000_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of start, end in bytes) and kept (the bytes that stay)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     copies = docs.where(F.octet_length("text") >= length).groupBy(F.xxhash64("text").alias("tkey")).agg(F.count("*").alias("c"), F.max(F.octet_length("text")).alias("bytes"))
     copied = copies.where("c > 1").select("tkey", F.lit(0).alias("start"), (F.col("bytes") - length + 1).alias("n"))
-    ranges = repeated_ranges(docs, length, k, "text", broadcast_rows).unionByName(copied)
+    ranges = repeated_ranges(docs, length, grams, "text", broadcast_rows).unionByName(copied)
     spans = cut(ranges.groupBy("tkey").agg(F.collect_set(F.struct("start", "n")).alias("ranges")), "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
