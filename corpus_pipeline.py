@@ -14,10 +14,23 @@ from corpusmill.llm import mixing, near_dedup, packing, pii, toxicity
 from corpusmill.llm.common import cut, table
 
 
+def _narrow(docs: DataFrame, *own: str) -> DataFrame:
+    """The columns that a stage works on, and all others in one, so that no name can clash with the operator's."""
+    return docs.select(*own, F.struct(F.lit(0).alias("_"), *(c for c in docs.columns if c not in own)).alias("_rest"))
+
+
+def _widened(df: DataFrame, docs: DataFrame, *own: str) -> DataFrame:
+    """The columns of docs again; n_chars follows the text."""
+    each = {c: F.col(c) if c in own else F.col("_rest")[c].alias(c) for c in docs.columns}
+    if "n_chars" in each:
+        each["n_chars"] = F.length("text").cast("long").alias("n_chars")
+    return df.select(*each.values())
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under 0.5. The model is fitted on this stage's own input and the labels."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model, predicted_col="_toxic", score_col="_score").where("_toxic = 0").select(*docs.columns)
+    return _widened(toxicity.score_documents(_narrow(docs, "doc_id", "text"), model).where("predicted = 0"), docs, "doc_id", "text")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +40,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def generalise_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and terms that disclose it give way to the name of their kind."""
-    found = pii.find_pii(docs)
-    return found.withColumn("text", pii.sanitized(found)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    found = pii.find_pii(_narrow(docs, "doc_id", "text"))
+    return _widened(found.withColumn("text", pii.sanitized(found)), docs, "doc_id", "text")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; one that the budget ends in is cut to its first words."""
-    return mixing.apply_mix(mixing.mix_to_weights(docs), docs.columns)
+    own = ("doc_id", "text", "source")
+    return _widened(mixing.apply_mix(mixing.mix_to_weights(_narrow(docs, *own)), [*own, "_rest"]), docs, *own)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

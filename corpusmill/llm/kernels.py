@@ -87,7 +87,7 @@ def shingles(texts: list[bytes], k: int) -> list[np.ndarray]:
     """Of each text the hashes of its runs of k words, in order; with fewer words, of the whole sequence; none without words."""
     h, bounds = words(texts)
     runs = h * PLACE[0]
-    for j in range(1, k):
+    for j in range(1, min(k, len(h))):
         runs[: len(h) - j] += h[j:] * PLACE[j]
     runs = mix(runs)
     out = []

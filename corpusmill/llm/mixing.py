@@ -6,7 +6,8 @@ each range. A source's budget takes whole epochs over all its documents and then
 word where the budget ends.
 
 Defined cases. Null text: size 0, takes nothing. Null source: a source of its own, last in order. Null or repeated doc_id:
-ordered by the text as well; rows alike in both are interchangeable. Source without words: target 0. Empty table: no rows.
+ordered by the text as well; rows alike in both are interchangeable. Columns
+of the input with the names of the added ones are dropped. Source without words: target 0. Empty table: no rows.
 The sources' totals go to the driver: one row for each source, `max_sources` at most (an error beyond it).
 """
 
@@ -65,6 +66,7 @@ def mix_to_weights(
     A text isn't needed after its words are counted: if the caller doesn't select it, Catalyst leaves it out of the shuffle.
     """
     spark = docs.sparkSession
+    docs = docs.drop("size", "source_size", "target", "taken")
     skey, fine, key, tie, before, full, part = (free_name(docs, n) for n in ("skey", "fine", "key", "tie", "before", "full", "part"))
     n_fine = 1 << max(0, math.ceil(math.log2(max(1, docs.count() / range_rows))))
     digits = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
@@ -102,11 +104,10 @@ def apply_mix(mixed: DataFrame, columns: list[str], text_col: str = "text") -> D
     whole = F.when(size > 0, F.floor(taken / size)).otherwise(F.lit(0)).cast("int")
     rest = taken - whole * size
     # possessive: the match runs in a loop, not by recursion, however many words there are
-    head = F.expr(rf"regexp_substr({text_col}, concat(r'^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){{', cast(_rest as string), r'}}+'))")
-    copies = mixed.withColumn("_rest", rest).withColumn("_copy", F.explode(F.sequence(F.lit(0), whole))).where((F.col("_copy") < whole) | (F.col("_rest") > 0))
+    head = F.expr(rf"regexp_substr({text_col}, concat(r'^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){{', cast(_left as string), r'}}+'))")
+    copies = mixed.withColumn("_left", rest).withColumn("_copy", F.explode(F.sequence(F.lit(0), whole))).where((F.col("_copy") < whole) | (F.col("_left") > 0))
     text = F.when(F.col("_copy") < whole, F.col(text_col)).otherwise(head)
-    out = copies.withColumn(text_col, text)
-    return (out.withColumn("n_chars", F.length(text_col).cast("long")) if "n_chars" in columns else out).select(*columns)
+    return copies.withColumn(text_col, text).select(*columns)
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

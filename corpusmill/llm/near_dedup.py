@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks_of, cut, table
+from .common import blocks_of, cut, free_name, table
 from .graph import components
 from .kernels import band_keys, circulant, set_hash, shingles
 
@@ -203,8 +203,9 @@ def near_duplicates(
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The documents that near_duplicates keeps: one doc_id of each component."""
-    gone = near_duplicates(docs, id_col=id_col, **how).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    name = free_name(docs, "gone")
+    gone = near_duplicates(docs, id_col=id_col, **how).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(gone[name]), "left_anti")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

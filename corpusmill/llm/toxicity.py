@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, free_name, table
 
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "imbecile", "vermin", "filth", "parasite")
 THREATS = ("kill", "hurt", "destroy", "beat", "shoot", "stab", "strangle", "murder", "burn", "crush")
@@ -217,9 +217,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str =
 
 def score_documents(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
     """docs with the score (0 to 1) and whether it is 0.5 or more."""
-    raw = raw_scores(docs, model["terms"], text_col, "_raw")
-    z = F.lit(model["slope"]) * F.least("_raw", F.lit(MOST)) + F.lit(model["intercept"])
-    return raw.withColumn(score_col, 1 / (1 + F.exp(-z))).withColumn(predicted_col, (F.col(score_col) >= 0.5).cast("int")).drop("_raw")
+    name = free_name(docs, "raw")
+    raw = raw_scores(docs, model["terms"], text_col, name)
+    z = F.lit(model["slope"]) * F.least(name, F.lit(MOST)) + F.lit(model["intercept"])
+    return raw.withColumn(score_col, 1 / (1 + F.exp(-z))).withColumn(predicted_col, (F.col(score_col) >= 0.5).cast("int")).drop(name)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
