@@ -144,7 +144,7 @@ def repeated_ranges(docs: DataFrame, length: int, grams: tuple[int, ...], text_c
         wholes.append(judged.where("low != high").select("tkey", "start", "n"))
         # of a repeated context one place stands for all
         left = judged.where("open and (low = high or place = low)").groupBy("tkey").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
-        source = keyed.join(_small(cut(left, "left"), broadcast_rows // 4), "tkey").select("tkey", "text", "ranges")
+        source = keyed.join(_small(cut(left, "left"), broadcast_rows // 8), "tkey").select("tkey", "text", "ranges")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,29 +160,36 @@ def repeated_ranges(docs: DataFrame, length: int, grams: tuple[int, ...], text_c
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, grams: tuple[int, ...] = (64, 150), id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 4_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, grams: tuple[int, ...] = (64, 150, 190), id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of start, end in bytes) and kept (the bytes that stay)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     copies = docs.where(F.octet_length("text") >= length).groupBy(F.xxhash64("text").alias("tkey")).agg(F.count("*").alias("c"), F.max(F.octet_length("text")).alias("bytes"))
     copied = copies.where("c > 1").select("tkey", F.lit(0).alias("start"), (F.col("bytes") - length + 1).alias("n"))
     ranges = repeated_ranges(docs, length, grams, "text", broadcast_rows).unionByName(copied)
-    spans = cut(ranges.groupBy("tkey").agg(F.collect_set(F.struct("start", "n")).alias("ranges")), "spans")
+    of_text = ranges.groupBy("tkey").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [[x for s in spans_of([(r["start"], r["n"]) for r in ranges], length) for x in s] for ranges in batch.column("ranges").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("tkey"), pa.array(spans, pa.list_(pa.int32()))], names=["tkey", "edges"])
+
+    # a few numbers for each text, however many windows there were
+    spans = cut(of_text.mapInArrow(merge, "tkey long, edges array<int>"), "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, ranges in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-                data = text.encode()
-                spans = spans_of([(r["start"], r["n"]) for r in ranges or ()], length)
-                edges = [0, *(x for s in spans for x in s), len(data)]
+            for doc, text, inner in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("edges").to_pylist(), strict=True):
+                data, inner = text.encode(), inner or []
+                edges = [0, *inner, len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                out.append((doc, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in spans], kept))
+                out.append((doc, len(data), len(data) - len(kept), len(inner) // 2, hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in zip(inner[::2], inner[1::2], strict=True)], kept))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
             columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    placed = docs.withColumn("tkey", F.xxhash64("text")).join(_small(spans, broadcast_rows // 8), "tkey", "left").select("doc_id", "text", "ranges")
+    placed = docs.withColumn("tkey", F.xxhash64("text")).join(_small(spans, broadcast_rows // 4), "tkey", "left").select("doc_id", "text", "edges")
     return placed.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>, kept binary")
 
 
