@@ -89,13 +89,10 @@ def rate_windows(spark, d):
 @query("stream_rate_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS calls, round(sum(value), 4) AS seconds FROM events GROUP BY 1, 2")
 def stream_rate_windows(spark, d):
     """The same as a stream that takes what there is: results are complete when it ends."""
-    schema = table(spark, d, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(d) if not d.startswith("viewfs") else None
-    out = scratch(spark, "stream")
-    if events is None:
-        return rate_windows(spark, d)
-    q = streaming.rate_windows(events).writeStream.outputMode("complete").format("memory").queryName(name := f"rates_{uuid.uuid4().hex}").option("checkpointLocation", out).trigger(availableNow=True).start()
-    q.awaitTermination()
+    events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    name = f"rates_{uuid.uuid4().hex}"
+    out = streaming.rate_windows(events).writeStream.outputMode("complete").format("memory").queryName(name)
+    out.option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
     return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "calls", F.round("seconds", 4).alias("seconds"))
 
 
