@@ -81,16 +81,22 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", reach: int = 80, s
     mentions = cut(mentions.select("tkey", "e.entity", F.array_distinct(F.regexp_extract_all(F.lower(near), F.lit(TERM), F.lit(0))).alias("terms")), "mentions")
     of_text = mentions.select("tkey", "entity").distinct()
     n_entity = of_text.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
-    pairs = mentions.select("tkey", "entity", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    pairs = cut(pairs.join(n_entity, "entity"), "term-pairs")
+    n_texts = texts.select("tkey").distinct().count()
+    carries = F.log2(F.lit(float(n_texts)) / F.col("n_entity"))
+
+    def pmi(n_term: str):
+        return F.log2(F.col("n_both") * F.lit(float(n_texts)) / (F.col("n_entity") * F.col(n_term)))
+
+    near_by = mentions.select("tkey", "entity", F.explode("terms").alias("term")).distinct()
+    pairs = near_by.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support).join(n_entity, "entity")
+    # a term has at least the texts in which it stands near an entity: pairs that can't pass by them need no count over all texts
+    least = near_by.groupBy("term").agg(F.countDistinct("tkey").alias("n_least"))
+    pairs = cut(pairs.join(least, "term").where((carries > 0) & (pmi("n_least") >= alpha * carries)).drop("n_least"), "term-pairs")
     wanted = pairs.select("term").distinct()
     few = wanted.count()
-    n_texts = texts.select("tkey").distinct().count()
     words = texts.select("tkey", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     n_term = words.join(F.broadcast(wanted) if few <= broadcast_rows else wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    pmi = F.log2(F.col("n_both") * F.lit(float(n_texts)) / (F.col("n_entity") * F.col("n_term")))
-    carries = F.log2(F.lit(float(n_texts)) / F.col("n_entity"))
-    telling = pairs.join(n_term, "term").where((carries > 0) & (pmi >= alpha * carries)).select("entity", "term")
+    telling = pairs.join(n_term, "term").where(pmi("n_term") >= alpha * carries).select("entity", "term")
     return of_text.join(telling, "entity").groupBy("tkey").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 
