@@ -2,9 +2,10 @@
 
 The patterns find protected entities (e-mail and IP addresses, card and phone numbers). Terms that stand near an entity are
 judged by what they tell about it: the pointwise mutual information of entity and term over all documents, against the
-information that the entity itself carries. A term that gives away `alpha` of it or more, in `support` different texts at
-least, is a disclosing term, and is a span too wherever it stands in a document with that entity. Sanitising generalises
-each span to the name of its kind (or removes disclosing terms).
+information that the entity itself carries. A term that gives away `alpha` of it or more is a disclosing term, however few
+texts the entity stands in, and is a span too wherever it stands in a document with that entity. For an entity of a single
+text these are the terms that stand in N**(1 - alpha) of the N texts at most. Sanitising generalises each span to the name
+of its kind (or removes disclosing terms).
 
 Positions come from cutting the text at the matches and adding up lengths, all in code points. Counts are of different
 texts, so that copies don't make evidence. Co-occurrence is looked for within `reach` characters of a mention, so pairs
@@ -73,14 +74,14 @@ def entities(kinds=tuple(PATTERNS)) -> Column:
     return F.flatten(F.array(*(F.expr(f"transform({k}, x -> named_struct('entity', concat('{k}:', {one[k]}), 'start', x.start, 'end', x.end))") for k in kinds)))
 
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text", reach: int = 80, support: int = 3, alpha: float = 0.9, broadcast_rows: int = 500_000) -> DataFrame:
+def disclosing_terms(docs: DataFrame, text_col: str = "text", reach: int = 80, alpha: float = 0.9, broadcast_rows: int = 500_000) -> DataFrame:
     """(tkey, terms): for texts with an entity that terms disclose, those terms. tkey is xxhash64 of the text."""
     texts = docs.select(F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text")).where("text is not null")
     mentions = with_base(texts).select("tkey", "text", F.explode(entities()).alias("e"))
     near = F.expr("concat(substring(text, greatest(1, e.start + 1 - {0}), least({0}, e.start)), ' ', substring(text, e.end + 1, {0}))".format(reach))
     mentions = cut(mentions.select("tkey", "e.entity", F.array_distinct(F.regexp_extract_all(F.lower(near), F.lit(TERM), F.lit(0))).alias("terms")), "mentions")
     of_text = mentions.select("tkey", "entity").distinct()
-    n_entity = of_text.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
+    n_entity = of_text.groupBy("entity").agg(F.count("*").alias("n_entity"))
     n_texts = texts.select("tkey").distinct().count()
     carries = F.log2(F.lit(float(n_texts)) / F.col("n_entity"))
 
@@ -88,7 +89,7 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", reach: int = 80, s
         return F.log2(F.col("n_both") * F.lit(float(n_texts)) / (F.col("n_entity") * F.col(n_term)))
 
     near_by = mentions.select("tkey", "entity", F.explode("terms").alias("term")).distinct()
-    pairs = near_by.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support).join(n_entity, "entity")
+    pairs = near_by.groupBy("entity", "term").agg(F.count("*").alias("n_both")).join(n_entity, "entity")
     # a term has at least the texts in which it stands near an entity: pairs that can't pass by them need no count over all texts
     least = near_by.groupBy("term").agg(F.countDistinct("tkey").alias("n_least"))
     pairs = cut(pairs.join(least, "term").where((carries > 0) & (pmi("n_least") >= alpha * carries)).drop("n_least"), "term-pairs")

@@ -227,6 +227,15 @@ def test_pii_terms(spark):
     assert out[100] == ([], rows[6][1])
 
 
+def test_pii_terms_of_a_rare_entity(spark):
+    """An entity of one text is judged like any other: what stands with it alone discloses it, what is common doesn't."""
+    rows = [(1, "today the bluefalcon of place 1 wrote to boss@corp.example")] + [(100 + i, f"today the weather of place {i} was fine") for i in range(60)]
+    found = pii.find_pii(docs_of(spark, rows))
+    out = {r["doc_id"]: (r["term"], r["clean"]) for r in found.withColumn("clean", pii.sanitized(found)).collect()}
+    assert {x["value"] for x in out[1][0]} == {"bluefalcon", "wrote"} and out[1][1] == "today the [TERM] of place 1 [TERM] to [EMAIL]"
+    assert out[100] == ([], rows[1][1])
+
+
 def test_pii_is_native(spark):
     plan = pii.op4_pii(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
