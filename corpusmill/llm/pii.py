@@ -8,8 +8,9 @@ text these are the terms that stand in N**(1 - alpha) of the N texts at most. Sa
 of its kind (or removes disclosing terms).
 
 Positions come from cutting the text at the matches and adding up lengths, all in code points. Counts are of different
-texts, so that copies don't make evidence. Co-occurrence is looked for within `reach` characters of a mention, so pairs
-grow with mentions, never with pairs of words; a common term or entity only meets partial sums.
+texts, so that copies don't make evidence. Co-occurrence is looked for in the whole text, outside of the base spans. All
+words are counted first; a term in more texts than any of the entity's pairs could pass with never becomes a pair, so pairs
+grow with mentions and their rare words, never with pairs of words; a common term or entity only meets partial sums.
 
 Defined cases. Null text: empty, no spans, and null after sanitising. Repeated rows: each the same. Null doc_id: as any
 other. Empty table: no rows. The patterns run in loops, not by recursion, and start at the beginnings of runs alone, so
@@ -44,7 +45,8 @@ VALID = {
     "card": f"(case when length({_DIGITS}) between 13 and 19 then {_LUHN.format(_DIGITS)} else false end)",
     "phone": f"length({_DIGITS}) between 9 and 15",
 }
-TERM = r"\p{L}{4,30}"
+#: A word: letters, marks and digits, three or more; also two, where the first is a capital or of a script without any.
+TERM = r"[\p{L}\p{M}\p{N}]{3,}|(?<![\p{L}\p{M}\p{N}])[\p{Lu}\p{Lo}][\p{L}\p{M}](?![\p{L}\p{M}\p{N}])"
 
 
 def matches(text: str, pattern: str, needs: str = "true") -> Column:
@@ -74,44 +76,62 @@ def entities(kinds=tuple(PATTERNS)) -> Column:
     return F.flatten(F.array(*(F.expr(f"transform({k}, x -> named_struct('entity', concat('{k}:', {one[k]}), 'start', x.start, 'end', x.end))") for k in kinds)))
 
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text", reach: int = 80, alpha: float = 0.9, broadcast_rows: int = 500_000) -> DataFrame:
-    """(tkey, terms): for texts with an entity that terms disclose, those terms. tkey is xxhash64 of the text."""
-    texts = docs.select(F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text")).where("text is not null")
-    mentions = with_base(texts).select("tkey", "text", F.explode(entities()).alias("e"))
-    near = F.expr("concat(substring(text, greatest(1, e.start + 1 - {0}), least({0}, e.start)), ' ', substring(text, e.end + 1, {0}))".format(reach))
-    mentions = cut(mentions.select("tkey", "e.entity", F.array_distinct(F.regexp_extract_all(F.lower(near), F.lit(TERM), F.lit(0))).alias("terms")), "mentions")
-    of_text = mentions.select("tkey", "entity").distinct()
-    n_entity = of_text.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    n_texts = texts.select("tkey").distinct().count()
-    carries = F.log2(F.lit(float(n_texts)) / F.col("n_entity"))
+def covered(text: str, kinds, name: str) -> str:
+    """SQL of the text with `name` (an expression of the span s) in place of each span; spans that overlap become one, named by the first."""
+    every = ", ".join(f"transform({k}, x -> named_struct('start', x.start, 'end', x.end, 'kind', '{k}'))" for k in kinds)
+    joined = (
+        f"aggregate(array_sort(concat({every})), cast(array() as array<struct<start: int, end: int, kind: string>>), (a, x) -> "
+        "case when size(a) > 0 and element_at(a, -1).end > x.start then "
+        "concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end), 'kind', element_at(a, -1).kind))) "
+        "else concat(a, array(x)) end)"
+    )
+    pieces = f"transform(j, (s, i) -> concat(substring({text}, case when i = 0 then 1 else j[i - 1].end + 1 end, s.start - case when i = 0 then 0 else j[i - 1].end end), {name}))"
+    return f"transform(array({joined}), j -> case when size(j) = 0 then {text} else concat(array_join({pieces}, ''), substring({text}, element_at(j, -1).end + 1)) end)[0]"
 
-    def pmi(n_term: str):
-        return F.log2(F.col("n_both") * F.lit(float(n_texts)) / (F.col("n_entity") * F.col(n_term)))
 
-    near_by = mentions.select("tkey", "entity", F.explode("terms").alias("term")).distinct()
-    pairs = near_by.groupBy("entity", "term").agg(F.count("*").alias("n_both")).join(n_entity, "entity")
-    # a term has at least the texts in which it stands near an entity: pairs that can't pass by them need no count over all texts
-    least = near_by.groupBy("term").agg(F.countDistinct("tkey").alias("n_least"))
-    pairs = cut(pairs.join(least, "term").where((carries > 0) & (pmi("n_least") >= alpha * carries)).drop("n_least"), "term-pairs")
-    wanted = pairs.select("term").distinct()
-    few = wanted.count()
-    words = texts.select("tkey", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_term = words.join(F.broadcast(wanted) if few <= broadcast_rows else wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    telling = pairs.join(n_term, "term").where(pmi("n_term") >= alpha * carries).select("entity", "term")
-    return of_text.join(telling, "entity").groupBy("tkey").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+def bare(text: str) -> str:
+    """SQL of the text with blanks in place of the base spans: all else keeps its position."""
+    return covered(text, PATTERNS, "repeat(' ', s.end - s.start)")
 
 
-def find_pii(docs: DataFrame, text_col: str = "text", broadcast_rows: int = 200_000, **how) -> DataFrame:
+def disclosing_terms(docs: DataFrame, text_col: str = "text", alpha: float = 0.9, broadcast_rows: int = 500_000) -> DataFrame:
+    """(tkey, terms): for texts with an entity that terms disclose, those terms. tkey is xxhash64 of the text."""
+    texts = docs.select(F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text")).where("text is not null").dropDuplicates(["tkey"])
+    found = with_base(texts).select("tkey", F.array_distinct(F.transform(entities(), lambda e: e.entity)).alias("entities"), F.expr(bare("text")).alias("text"))
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))
+    texts = cut(found.select("tkey", "entities", words.alias("terms")), "text-terms")
+    n_texts = texts.count()
+    own = texts.where(F.size("entities") > 0)
+    mentions = own.select("tkey", F.explode("entities").alias("entity"))
+    n_entity = mentions.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # entities of one text alone are alike for all of its terms: one stands for them
+    alike = F.when(F.col("n_entity") == 1, F.concat(F.lit("one:"), F.col("tkey").cast("string"))).otherwise(F.col("entity"))
+    several = mentions.join(n_entity.where("n_entity > 1"), "entity", "left").withColumn("n_entity", F.coalesce("n_entity", F.lit(1)))
+    mentions = cut(several.where(F.col("n_entity") < n_texts).select("tkey", alike.alias("entity"), "n_entity").distinct(), "mentions")
+    carries = F.log2(F.lit(float(n_texts)) / F.col("n_entity"))
+    pmi = F.log2(F.col("n_both") * F.lit(float(n_texts)) / (F.col("n_entity") * F.col("n_term")))
+    # n_both is n_entity at most, so only terms of so many texts can pass (and a little more, for rounding)
+    most = F.pow(F.col("n_entity"), F.lit(alpha)) * float(max(n_texts, 1)) ** (1 - alpha) * (1 + 1e-9)
+    top = mentions.agg(F.max(most)).first()[0] or 0.0
+    each = F.explode("terms").alias("term")
+    n_term = texts.select((F.size("entities") > 0).cast("long").alias("own"), each).groupBy("term").agg(F.count("*").alias("n_term"), F.sum("own").alias("own"))
+    n_term = cut(n_term.where((F.col("own") > 0) & (F.col("n_term") <= top)).select("term", "n_term"), "terms-counted")
+    rare = F.broadcast(n_term) if n_term.count() <= broadcast_rows else n_term
+    both = own.select("tkey", each).join(rare, "term").join(mentions, "tkey").where(F.col("n_term") <= most)
+    pairs = both.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    telling = pairs.where(pmi >= alpha * carries).select("entity", "term")
+    return mentions.join(telling, "entity").groupBy("tkey").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+
+
+def find_pii(docs: DataFrame, text_col: str = "text", broadcast_mb: int = 16, **how) -> DataFrame:
     """docs with columns email, ip, card, phone and term: arrays of spans (value, start, end)."""
     terms = cut(disclosing_terms(docs, text_col, **how), "terms")
-    if terms.count() <= broadcast_rows:  # some terms each, of 30 letters at most
+    if (terms.agg(F.sum(F.lit(64) + F.octet_length(F.array_join("terms", " ")) + 32 * F.size("terms"))).first()[0] or 0) <= broadcast_mb << 20:
         terms = F.broadcast(terms)
     found = docs.withColumn("tkey", F.xxhash64(text_col)).join(terms, "tkey", "left").withColumn("_text", F.coalesce(text_col, F.lit("")))
-    found = with_base(found, "_text")
-    pattern = r"concat(r'(?iu)(?<![\p{L}\p{N}])(?:', array_join(terms, '|'), r')(?![\p{L}\p{N}])')"
-    found = found.withColumn("term", matches("_text", pattern, "terms is not null"))
-    apart = " and ".join(f"not exists({k}, b -> b.start < x.end and x.start < b.end)" for k in PATTERNS)
-    return found.withColumn("term", F.expr(f"filter(term, x -> {apart})")).drop("tkey", "terms", "_text")
+    found = with_base(found, "_text").withColumn("_text", F.expr(f"case when terms is not null then {bare('_text')} end"))
+    pattern = r"concat(r'(?iu)(?<![\p{L}\p{M}\p{N}])(?:', array_join(terms, '|'), r')(?![\p{L}\p{M}\p{N}])')"
+    return found.withColumn("term", F.coalesce(matches("_text", pattern, "terms is not null"), F.array())).drop("tkey", "terms", "_text")
 
 
 def spans_text(kinds: tuple[str, ...]) -> Column:
@@ -121,18 +141,8 @@ def spans_text(kinds: tuple[str, ...]) -> Column:
 
 def sanitized(found: DataFrame, text_col: str = "text", remove_terms: bool = False) -> Column:
     """The text with each span generalised to its kind in brackets; spans that overlap become one, named by the first."""
-    kinds = [*PATTERNS, "term"]
-    every = ", ".join(f"transform({k}, x -> named_struct('start', x.start, 'end', x.end, 'kind', '{k}'))" for k in kinds)
-    joined = (
-        f"aggregate(array_sort(concat({every})), cast(array() as array<struct<start: int, end: int, kind: string>>), (a, x) -> "
-        "case when size(a) > 0 and element_at(a, -1).end > x.start then "
-        "concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end), 'kind', element_at(a, -1).kind))) "
-        "else concat(a, array(x)) end)"
-    )
     name = "case when s.kind = 'term' then '' else concat('[', upper(s.kind), ']') end" if remove_terms else "concat('[', upper(s.kind), ']')"
-    pieces = f"transform(j, (s, i) -> concat(substring({text_col}, case when i = 0 then 1 else j[i - 1].end + 1 end, s.start - case when i = 0 then 0 else j[i - 1].end end), {name}))"
-    whole = f"transform(array({joined}), j -> case when size(j) = 0 then {text_col} else concat(array_join({pieces}, ''), substring({text_col}, element_at(j, -1).end + 1)) end)[0]"
-    return F.expr(whole)
+    return F.expr(covered(text_col, [*PATTERNS, "term"], name))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,6 +236,19 @@ def test_pii_terms_of_a_rare_entity(spark):
     assert out[100] == ([], rows[1][1])
 
 
+def test_pii_terms_of_whole_texts(spark):
+    """Terms far from the entity, short names, codes with digits and long words are judged; what stands inside base spans isn't a term."""
+    long = "x" * 40
+    rows = [(i, f"Kim and Li of k9unit {long} today the weather " + "of place was fine " * 20 + f"to boss@corp.example or +1 858 555 728{i}") for i in range(3)]
+    rows += [(100 + i, f"today the weather of place {i} was fine and or to boss corp example") for i in range(60)]
+    found = pii.find_pii(docs_of(spark, rows))
+    out = {r["doc_id"]: (r["term"], r["clean"]) for r in found.withColumn("clean", pii.sanitized(found)).collect()}
+    for i in range(3):
+        assert [x["value"] for x in out[i][0]] == ["Kim", "Li", "k9unit", long] and all(rows[i][1][x["start"] : x["end"]] == x["value"] for x in out[i][0])
+        assert out[i][1].startswith("[TERM] and [TERM] of [TERM] [TERM] today ") and out[i][1].endswith(" to [EMAIL] or [PHONE]")
+    assert all(out[100 + i][0] == [] for i in range(60))
+
+
 def test_pii_is_native(spark):
     plan = pii.op4_pii(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
