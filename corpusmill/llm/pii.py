@@ -3,7 +3,7 @@
 The patterns find protected entities (e-mail and IP addresses, card and phone numbers). Terms that stand near an entity are
 judged by what they tell about it: the pointwise mutual information of entity and term over all documents, against the
 information that the entity itself carries. A term that gives away `alpha` of it or more is a disclosing term, however few
-texts the entity stands in, and is a span too wherever it stands in a document with that entity. For an entity of a single
+texts the entity stands in, and is a span too wherever it stands, with that entity or alone. For an entity of a single
 text these are the terms that stand in N**(1 - alpha) of the N texts at most. Sanitising generalises each span to the name
 of its kind (or removes disclosing terms).
 
@@ -95,7 +95,7 @@ def bare(text: str) -> str:
 
 
 def disclosing_terms(docs: DataFrame, text_col: str = "text", alpha: float = 0.9, broadcast_rows: int = 500_000) -> DataFrame:
-    """(tkey, terms): for texts with an entity that terms disclose, those terms. tkey is xxhash64 of the text."""
+    """(tkey, terms): for texts with terms that disclose an entity of any text, those terms. tkey is xxhash64 of the text."""
     texts = docs.select(F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text")).where("text is not null").dropDuplicates(["tkey"])
     found = with_base(texts).select("tkey", F.array_distinct(F.transform(entities(), lambda e: e.entity)).alias("entities"), F.expr(bare("text")).alias("text"))
     words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))
@@ -119,8 +119,9 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", alpha: float = 0.9
     rare = F.broadcast(n_term) if n_term.count() <= broadcast_rows else n_term
     both = own.select("tkey", each).join(rare, "term").join(mentions, "tkey").where(F.col("n_term") <= most)
     pairs = both.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
-    telling = pairs.where(pmi >= alpha * carries).select("entity", "term")
-    return mentions.join(telling, "entity").groupBy("tkey").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    telling = cut(pairs.where(pmi >= alpha * carries).select("term").distinct(), "telling")
+    telling = F.broadcast(telling) if telling.count() <= broadcast_rows else telling
+    return texts.select("tkey", each).join(telling, "term", "left_semi").groupBy("tkey").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", broadcast_mb: int = 16, **how) -> DataFrame:

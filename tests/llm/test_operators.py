@@ -249,6 +249,16 @@ def test_pii_terms_of_whole_texts(spark):
     assert all(out[100 + i][0] == [] for i in range(60))
 
 
+def test_pii_terms_without_the_entity(spark):
+    """A disclosing term tells of its entity in texts that don't hold it too."""
+    rows = [(i, f"today the bluefalcon of place {i} wrote to boss@corp.example") for i in range(9)] + [(50, "the Bluefalcon was fine")]
+    rows += [(100 + i, f"today the weather of place {i} was fine") for i in range(60)]
+    found = pii.find_pii(docs_of(spark, rows))
+    out = {r["doc_id"]: (r["term"], r["clean"]) for r in found.withColumn("clean", pii.sanitized(found)).collect()}
+    assert out[50][1] == "the [TERM] was fine" and out[3][1] == "today the [TERM] of place 3 [TERM] to [EMAIL]"
+    assert out[100] == ([], "today the weather of place 0 was fine")
+
+
 def test_pii_is_native(spark):
     plan = pii.op4_pii(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
