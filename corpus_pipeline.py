@@ -52,7 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of 1024 tokens at most."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, added=packing.ADDED)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -35,6 +35,8 @@ from .common import cut, table
 
 #: The same ids as byte_bpe_50k.json of the tokenizers library (tests compare them), from the same vocabulary as ranks.
 TOKENIZER = "byte_bpe_50k.tiktoken"
+#: The added token of byte_bpe_50k.json: the library emits its id wherever a text holds it, with or without add_special_tokens.
+ADDED = {"<|endoftext|>": 50256}
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -48,28 +50,28 @@ class Ids:
     """Byte-level BPE ids of texts as little-endian unsigned 32-bit values.
 
     The look-ahead of the pre-tokenizer's pattern only matters in runs of white space; texts without any take the pattern
-    without it, which is matched several times as fast.
+    without it, which is matched several times as fast. Texts are split at the `added` tokens first, which keep their ids.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: dict[str, int]):
         import tiktoken
         from public_tokenizers import PATTERN
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.full, self.plain = (
-            tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) for name, pattern in (("full", PATTERN), ("plain", PATTERN.replace(r"\s+(?!\S)|", "")))
+            tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens=added) for name, pattern in (("full", PATTERN), ("plain", PATTERN.replace(r"\s+(?!\S)|", "")))
         )
         self.run = re.compile(r"\s\s").search
 
     def of(self, text: str) -> bytes:
-        ids = array("I", (self.full if self.run(text) else self.plain).encode_ordinary(text))
+        ids = array("I", (self.full if self.run(text) else self.plain).encode(text, allowed_special="all", disallowed_special=()))
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()
 
 
-_ids: dict[str, Ids] = {}
+_ids: dict[tuple, Ids] = {}
 
 
 def cut_pieces(n: int, most: int) -> list[tuple[int, int]]:
@@ -140,14 +142,15 @@ class Plan:
             self._put(level - length, (rest[0] - 1, rest[1] - item[2]), (first, use))
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int, id_col: str, text_col: str, with_ids: bool, added: dict[str, int]) -> DataFrame:
     """A row for each piece, with `part` (the task that made it) and `nth` (its rank among the task's pieces of its length)."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _ids:
-            _ids[tokenizer] = Ids(tokenizer)
-        ids, part, seen = _ids[tokenizer], TaskContext.get().partitionId(), defaultdict(int)
+        key = (tokenizer, *sorted(added.items()))
+        if key not in _ids:
+            _ids[key] = Ids(tokenizer, added)
+        ids, part, seen = _ids[key], TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -176,14 +179,16 @@ def pack_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     with_ids: bool = False,
+    added: dict[str, int] | None = None,
 ) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for).
 
+    Without `added` a text's "<|endoftext|>" is text; with ADDED it is the token, as the tokenizers library has it by default.
     The attention capacity is max_tokens squared unless given, which a full sequence of one document needs.
     """
     spark = docs.sparkSession
     max_cost = max_cost or max_tokens * max_tokens
-    pieces = cut(pieces_of(docs, tokenizer or tokenizer_path(), end_id, max_tokens, id_col, text_col, with_ids), "pack-pieces")
+    pieces = cut(pieces_of(docs, tokenizer or tokenizer_path(), end_id, max_tokens, id_col, text_col, with_ids, added or {}), "pack-pieces")
     made = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # max_tokens rows at most
     plan = Plan(counts, max_tokens, max_docs, max_cost, weights, rule)
@@ -206,4 +211,4 @@ def pack_documents(
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents"), added=ADDED)

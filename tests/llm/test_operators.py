@@ -121,6 +121,19 @@ def test_packing(spark):
     assert packing.pack_documents(docs_of(spark, [])).count() == 0
 
 
+def test_packing_added_token(spark, tmp_path):
+    """The registered query's ids are those of the library as it comes, also where a text holds the added token."""
+    from tokenizers import Tokenizer
+
+    rows = [(1, "x<|endoftext|>"), (2, "a  <|endoftext|>  b \n\n<|endoftext|><|endoftext|> c"), (3, "<|endoftext|"), (4, " a <|endoftext|> b"), (5, "")]
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = packing.op10_best_fit_packing(spark, str(tmp_path)).toPandas().set_index("doc_id")
+    t = Tokenizer.from_file(packing.tokenizer_path("byte_bpe_50k.json"))
+    for doc, text in rows:
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 2], dtype="<u4")
+        assert out.loc[doc, "length"] == len(ids) and out.loc[doc, "ids_crc32"] == zlib.crc32(ids.tobytes())
+
+
 def test_near_duplicates_odd(spark):
     rows = [r for r in ODD if r[0] not in (None, 7)]
     out = near_dedup.near_duplicates(docs_of(spark, rows), k=4).toPandas().set_index("doc_id")
