@@ -86,11 +86,15 @@ def index_info(spark, d):
 
 @query("ann_kmeans")
 def ann_kmeans(spark, d):
-    """IVF: k-means cells, the nearest cells of each query are searched exactly. HNSW requests come here too."""
+    """IVF: k-means cells, the nearest cells of each query (every id divisible by 100) are searched exactly. HNSW requests come here too.
+
+    12 of 16 cells: the vectors hardly cluster, and with fewer more than a tenth of the true neighbours may be lost (tests hold the recall).
+    """
     from ..operators.ann import ivf_index, ivf_search
 
     e = _t(spark, d, "embeddings")
-    return ivf_search(ivf_index(e, cells=16, seed=42), _queries(spark, d, 20), k=5, probes=4)
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return ivf_search(ivf_index(e, cells=16, seed=42), queries, k=5, probes=12)
 
 
 _TOKS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"

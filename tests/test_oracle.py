@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from corpusmill import plans, registry
 
@@ -45,3 +46,19 @@ def test_same_rows(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.1"])
+def test_ann_recall(spark, sf):
+    """At least 0.9 of the true neighbours of every id divisible by 100, by brute force."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    x = np.array(e["embedding"].tolist(), dtype=float)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    ids = e["vec_id"].to_numpy()
+    got = registry.QUERIES["ann_kmeans"](spark, sf).toPandas().groupby("query_id")["vec_id"].agg(set)
+    assert set(got.index) == {i for i in ids.tolist() if i % 100 == 0}
+    recall = []
+    for i in np.flatnonzero(ids % 100 == 0):
+        score = np.where(ids == ids[i], -9, np.round(x @ x[i], 6))
+        recall.append(len(got[ids[i]] & set(ids[np.lexsort((ids, -score))[:5]].tolist())) / 5)
+    assert np.mean(recall) >= 0.9
