@@ -13,7 +13,8 @@ its centre and isn't expanded into its pairs, and no candidate pair that could j
 
 Defined cases. Null or blank text: empty set, linked with nothing, a component of its own. Fewer than k words: the whole
 sequence is the one shingle. Repeated rows: one component. Null doc_id: takes part, but gives its component no id; a
-component without any id has the id null and all its rows are kept. Empty table: no rows. At the threshold 0.8 a pair is
+component without any id has the id null. keep_one decides by row: of each component the first row with the smallest id
+stays (without any id, one row), and repeats of that id and text with it. Empty table: no rows. At the threshold 0.8 a pair is
 missed by all bands with probability (1 - 0.8**6)**42 = 3e-6.
 """
 
@@ -137,7 +138,7 @@ def across(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("lead", "a", "b").applyInArrow(compare, "u long, v long")
 
 
-def near_duplicates(
+def grouped(
     docs: DataFrame,
     k: int = 5,
     percent: int = 80,
@@ -147,11 +148,12 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     broadcast_rows: int = 1_000_000,
-) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept, set_key."""
+) -> tuple[DataFrame, DataFrame]:
+    """(the sketches, and for each set: set_key, comp, rep: its smallest doc_id, first: its first row's key after that)."""
     sketch = cut(sketches(docs, k, n_hashes, rows, seed, id_col, text_col), "sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))  # rows with an id before others
     classes = cut(
-        sketch.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
+        sketch.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("row_key").alias("row_key"), first.alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
         "classes",
     )
     members = classes.select("set_key", F.explode("bands").alias("band"))
@@ -193,7 +195,12 @@ def near_duplicates(
     new = cut(across(crowded, set_table(texts_of(crowded.select("set_key").distinct()), k), percent), "links")
     if not new.isEmpty():
         roots = components(found.unionByName(new))
-    named = classes.join(roots, classes.set_key == roots.node, "left").select("set_key", "rep", F.coalesce("root", "set_key").alias("comp"))
+    return sketch, classes.join(roots, classes.set_key == roots.node, "left").select("set_key", "rep", "first", F.coalesce("root", "set_key").alias("comp"))
+
+
+def near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """One row for each document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept, set_key."""
+    sketch, named = grouped(docs, **how)
     ids = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of_set = named.join(ids, "comp").select("set_key", "component_id")
     out = sketch.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")
@@ -201,11 +208,20 @@ def near_duplicates(
     return out.withColumn("component_id", component).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "n_shingles", "component_id", "kept", "set_key")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The documents that near_duplicates keeps: one doc_id of each component."""
-    name = free_name(docs, "gone")
-    gone = near_duplicates(docs, id_col=id_col, **how).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone[name]), "left_anti")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row of each component, by row and not by id: rows of empty sets, and rows that repeat the kept one's id and text, stay."""
+    name = free_name(docs, "key")
+    sketch, named = grouped(docs, id_col=id_col, text_col=text_col, **how)
+    first = named.groupBy("comp").agg(F.min("first").alias("first")).select("first.row_key")
+    filled = sketch.where("set_key is not null").select("doc_id", "row_key")
+    gone = filled.join(first, "row_key", "left_anti").select(F.col("row_key").alias(name)).distinct()
+    keyed = docs.withColumn(name, _row_key(id_col, text_col))
+    kept = keyed.join(gone, name, "left_anti")
+    # rows without an id that repeat each other are one row
+    again = cut(filled.where("doc_id is null").groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row_key").alias(name)), "repeated")
+    if not again.isEmpty():
+        kept = kept.join(again, name, "left_anti").unionByName(kept.join(again, name, "left_semi").dropDuplicates([name]))
+    return kept.drop(name)
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,6 +144,17 @@ def test_near_duplicates_odd(spark):
     assert near_dedup.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_keep_one_by_row(spark):
+    """Null and repeated ids: a copy goes without taking other rows of its id along, and each component keeps a row."""
+    rows = [(3, "a b c d e f"), (None, "a b c d e f"), (None, "quite another text of no one"), (None, "g h i j k l"), (None, "G h i j k l"), (None, "m n o p q r"), (None, "m n o p q r")]
+    rows += [(5, "A b c d e f"), (5, "the second text of five words and more"), (6, "s t u v w x"), (6, "S t u v w x"), (None, ""), (None, ""), (None, None)]
+    out = near_dedup.keep_one(docs_of(spark, rows).withColumn("key", F.lit("mine")))
+    assert out.columns == ["doc_id", "text", "key"]
+    got = sorted((r["doc_id"] or 0, (r["text"] or "").lower()) for r in out.collect())
+    want = [(3, "a b c d e f"), (0, "quite another text of no one"), (0, "g h i j k l"), (0, "m n o p q r"), (5, "the second text of five words and more"), (6, "s t u v w x"), (0, ""), (0, ""), (0, "")]
+    assert got == sorted(want)
+
+
 def test_near_duplicates_crowd(spark):
     """A base with copies that are further from each other than from it, and chains of cut copies that the centre doesn't reach."""
     rng = np.random.default_rng(5)
