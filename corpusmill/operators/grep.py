@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,10 +22,19 @@ def pattern(p: str, case_sensitive: bool = False) -> str:
     return p if case_sensitive else f"(?iu){p}"
 
 
+#: What can make a match in a line depend on what surrounds the line: anchors, boundaries, groups with a question mark, possessive loops.
+_AROUND = re.compile(r"[\^$]|\\[AbBGRXzZ]|\(\?|[*+?}]\+")
+
+
+def may_match(text: Column, p: str) -> Column:
+    """False only for texts without a matching line; p as `pattern` returns it. Where the surroundings of a line count, whole texts tell nothing."""
+    return F.lit(True) if _AROUND.search(p.removeprefix("(?iu)")) else text.rlike(p)
+
+
 def grep_lines(docs: DataFrame, p: str, keep: list[str] = ["doc_id"], case_sensitive: bool = False) -> DataFrame:  # noqa: B006
-    """Matching lines. Whole texts are tested first, so only those with a match are cut into lines."""
+    """Matching lines. Whole texts are tested first where that is safe, so only those with a match are cut into lines."""
     p = pattern(p, case_sensitive)
-    return line_table(docs.where(F.col("text").rlike(p)), keep).where(F.col("line").rlike(p))
+    return line_table(docs.where(may_match(F.col("text"), p)), keep).where(F.col("line").rlike(p))
 
 
 def grep_blocks(blocks: DataFrame, p: str, types: list[str] | None = None, known_types: list[str] | None = None, source: str | None = None, source_col: str = "source") -> DataFrame:
@@ -41,7 +52,7 @@ def grep_blocks(blocks: DataFrame, p: str, types: list[str] | None = None, known
 def with_context(docs: DataFrame, p: str, k: int) -> DataFrame:
     """doc_id, line_no, line, is_match, gap_before for all lines within k of a match; gap_before marks where lines are left out."""
     p = pattern(p)
-    lines = line_table(docs.where(F.col("text").rlike(p))).withColumn("is_match", F.col("line").rlike(p))
+    lines = line_table(docs.where(may_match(F.col("text"), p))).withColumn("is_match", F.col("line").rlike(p))
     w = Window.partitionBy("doc_id").orderBy("line_no")
     near = lines.withColumn("near", F.max("is_match").over(w.rowsBetween(-k, k))).where("near")
     return near.select("doc_id", "line_no", "line", "is_match", F.coalesce(F.col("line_no") - F.lag("line_no").over(w) > 1, F.lit(False)).alias("gap_before"))

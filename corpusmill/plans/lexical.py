@@ -75,7 +75,7 @@ v AS (SELECT n.doc_id, k, g.line_no FROM n, range(0, 201) r(k), LATERAL (SELECT
 SELECT doc_id, CAST(coalesce(max(k) FILTER (WHERE least(ms[1] - 1, k) + 1 + coalesce(inner_, 0) + least(n - ms[-1], k) <= 150), 0) AS INTEGER) AS k FROM w GROUP BY doc_id""".replace("v AS (SELECT n.doc_id, k, g.line_no FROM n, range(0, 201) r(k), LATERAL (SELECT line_no FROM m WHERE false) g), ", ""))
 def optimal_context_k(spark, d):
     p = G.pattern("tion")
-    docs = table(spark, d, "documents").where(F.col("text").rlike(p)).select("doc_id", T.lines(F.col("text")).alias("ls"))
+    docs = table(spark, d, "documents").where(G.may_match(F.col("text"), p)).select("doc_id", T.lines(F.col("text")).alias("ls"))
     hits = docs.select("doc_id", F.size("ls").alias("n"), F.expr(f"filter(transform(ls, (x, i) -> if(x rlike '{p}', i + 1, null)), x -> x is not null)").alias("ms"))
     return hits.where(F.size("ms") > 0).select("doc_id", G.context_size(F.col("ms"), F.col("n")).alias("k"))
 

@@ -116,3 +116,13 @@ def test_context_size_matches_a_plain_search(spark):
 def test_bad_pattern_is_literal(spark):
     docs = spark.createDataFrame([(1, "a (b\nc"), (2, None), (3, "")], "doc_id long, text string")
     assert [tuple(x) for x in G.grep_lines(docs, "(b").collect()] == [(1, 1, "a (b")]
+
+
+def test_grep_with_anchors(spark):
+    """A line is found by its own start and end, wherever it stands in the text."""
+    from corpusmill.operators import grep
+
+    docs = spark.createDataFrame([(1, "first\nimport a\nlast"), (2, "the end\nmore"), (3, "no\nkey\n")], "doc_id long, text string")
+    hits = {p: sorted((r["doc_id"], r["line_no"]) for r in grep.grep_lines(docs, p).collect()) for p in ("^import", "end$", r"key(?!\s)", r"\Aimport", "a$", "more")}
+    assert hits == {"^import": [(1, 2)], "end$": [(2, 1)], r"key(?!\s)": [(3, 2)], r"\Aimport": [(1, 2)], "a$": [(1, 2)], "more": [(2, 2)]}
+    assert [r["line_no"] for r in grep.with_context(docs, "^import", 0).collect()] == [2]
