@@ -102,6 +102,20 @@ def test_packing_plan(rule, docs):
         assert len(bins) <= 1.02 * sum(lengths) / 1024 + 1
 
 
+@pytest.mark.parametrize(("docs", "cost"), [(3, 1024 * 1024), (1024, 40_000)])
+def test_packing_capacities_bind(docs, cost):
+    """Documents and cost hold where they are the tighter capacity."""
+    counts = {100: 40, 50: 40, 10: 40}
+    plan = packing.Plan(counts, 1024, docs, cost)
+    bins = collections.defaultdict(list)
+    for n, _, count, first, _ in plan.places:
+        for b in range(first, first + count):
+            bins[b].append(n)
+    assert collections.Counter(n for b in bins.values() for n in b) == counts
+    assert all(len(b) <= docs and sum(n * n for n in b) <= cost for b in bins.values())
+    assert len(bins) > len({b for *_, b, _ in packing.Plan(counts, 1024, 1024, 1024 * 1024).places})
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
