@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..shared import small
 from .retrieval import dense_search, ranked
 
 
@@ -26,6 +27,8 @@ def ivf_search(index: tuple[DataFrame, DataFrame], queries: DataFrame, k: int, p
     """query_id, vec_id, score, rank by cosine within the `probes` nearest cells of each query."""
     placed, centres = index
     near = dense_search(centres.withColumn("cell", F.col("cell").cast("long")), queries, probes, "l2", "cell", "centre", with_self=True).select("query_id", F.col("cell").cast("int").alias("cell"))
-    pairs = placed.join(F.broadcast(near.join(queries, "query_id")), "cell").where(F.col(id_col) != F.col("query_id"))
+    # few cells, many queries: a query goes to its cells, small sets of queries by broadcast and others by a shuffle on the cell
+    asked = small(near.join(queries, "query_id"))
+    pairs = placed.join(asked, "cell").where(F.col(id_col) != F.col("query_id"))
     scored = pairs.select("query_id", id_col, F.round(V.cosine(F.col(vec_col), F.col("query")), digits).alias("score"))
     return ranked(scored, F.desc("score"), ["query_id"], [id_col], k)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..shared import joined_in_blocks
 
 
 def line_table(docs: DataFrame, keep: list[str] = ["doc_id"], text_col: str = "text") -> DataFrame:  # noqa: B006
@@ -59,21 +60,67 @@ def with_context(docs: DataFrame, p: str, k: int) -> DataFrame:
 
 
 def context_size(matches: Column, n_lines: Column, most_lines: int = 150, most_k: int = 200) -> Column:
-    """The largest k up to most_k for which the lines within k of the matches, and a marker in each gap, are most_lines at most; 0 if none."""
+    """The largest k up to most_k for which the lines within k of the matches, and a marker in each gap, are most_lines at most; 0 if none.
+
+    The search ends at the first k from 2 on that shows as many lines as k - 1 did: the size then no longer grows, which is
+    when k - 1 shows every line, or all but one line in each gap, where the marker stands.
+    """
     gaps = F.transform(F.sequence(F.lit(2), F.size(matches)), lambda i: F.element_at(matches, i) - F.element_at(matches, i - 1))
     gaps = F.when(F.size(matches) > 1, gaps).otherwise(F.array().cast("array<int>"))
+    first, last = F.element_at(matches, 1), F.element_at(matches, -1)
 
     def total(k: Column) -> Column:
-        first, last = F.element_at(matches, 1), F.element_at(matches, -1)
         inner = F.aggregate(gaps, F.lit(0), lambda s, g: s + F.least(g, 2 * k + 1) + F.when(g > 2 * k + 1, 1).otherwise(0))
         return F.least(first - 1, k) + 1 + inner + F.least(n_lines - last, k)
 
-    return F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), F.lit(most_k)), lambda k: total(k) <= most_lines)), F.lit(0))
+    within = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), F.lit(most_k)), lambda k: total(k) <= most_lines)), F.lit(0))
+    whole = F.greatest(F.lit(1), first - 1, n_lines - last, F.coalesce(F.array_max(F.transform(gaps, lambda g: F.ceil((g - 2) / 2).cast("int"))), F.lit(1)))
+    return F.when(n_lines <= most_lines, F.least(whole + 1, F.lit(most_k))).otherwise(within).cast("int")
 
 
 def find_scripts(paths: DataFrame, targets: DataFrame, path_col: str = "path") -> DataFrame:
     """paths x targets where the target, as a pattern in any case, is in the path. targets (a caller's list): `target`."""
-    return paths.join(F.broadcast(targets), F.expr(f"{path_col} rlike concat('(?iu)', trim(target))"))
+    return joined_in_blocks(paths, targets, F.expr(f"{path_col} rlike concat('(?iu)', trim(target))"))
+
+
+def suffix_matches(paths: DataFrame, targets: DataFrame, path_col: str = "path") -> DataFrame:
+    """paths x targets where, without extensions, either is the other's end."""
+    bare = lambda c: F.regexp_replace(c, r"\.[^./]*$", "")
+    p, q = bare(path_col), bare("target")
+    return joined_in_blocks(paths, targets, F.endswith(p, q) | F.endswith(q, p))
+
+
+#: What a path looks like: with a slash, or with an extension at its end.
+_PATH = re.compile(r"/|\.[A-Za-z0-9]{1,5}$")
+
+
+def path_search(scripts: DataFrame, target: str) -> DataFrame:
+    """(doc_id, line_no, verb, resolved): lines that refer to a path, constants filled in, backslashes dropped.
+
+    A verb with a quoted path comes before any other literal of its line; a line counts once. Targets that don't look like
+    a path find nothing here: they are for the plain search.
+    """
+    from .scripts import constants, resolved
+
+    if not _PATH.search(target):
+        return scripts.select("doc_id", F.lit(0).alias("line_no"), F.lit("").alias("verb"), F.lit("").alias("resolved")).where("false")
+    p = pattern(target.replace("\\.", ".").replace("\\", "").strip().lstrip("/"))
+    lines = line_table(scripts.withColumn("consts", constants(F.col("text"))), ["doc_id", "consts"]).where(F.contains("line", F.lit('"')))
+    clean = lambda c: F.replace(resolved(c, F.col("consts"), unknown="erase"), F.lit("\\"), F.lit(""))
+    said = r'(?i)\b(read|write|import)\s*:?\s*"([^"]*)"'
+    x = lines.withColumn("verb", F.lower(F.regexp_extract("line", said, 1))).withColumn("by_verb", clean(F.regexp_extract("line", said, 2)))
+    x = x.withColumn("literals", F.transform(F.regexp_extract_all("line", F.lit('"([^"]*)"'), F.lit(1)), clean))
+    hit = (F.col("verb") != "") & F.col("by_verb").rlike(p)
+    other = F.get(F.filter("literals", lambda t: t.rlike(p)), F.lit(0))
+    return x.select("doc_id", "line_no", F.when(hit, F.col("verb")).otherwise("literal").alias("verb"), F.when(hit, F.col("by_verb")).otherwise(other).alias("resolved")).where("resolved is not null")
+
+
+def grep_resolved(blocks: DataFrame, p: str, consts: Column) -> DataFrame:
+    """Blocks whose content matches after its constants are filled in, for patterns that look like a path; others are matched as they are."""
+    from .scripts import resolved
+
+    text = resolved(F.col("content"), consts, unknown="erase") if _PATH.search(T.literal_pattern(p)) else F.col("content")
+    return blocks.where(text.rlike(pattern(p)))
 
 
 def route(question: Column) -> Column:

@@ -8,10 +8,9 @@ from ..functions import text as T
 from ..operators import graph as G
 from ..operators import grep, scripts as S
 from ..registry import query
-from .inputs import DUCK, scripts, table
+from .inputs import BLOCKS, DUCK, REFERENCES, SCRIPT_LINES, case_sql, scripts, table
 
-EDGES = f"""scripts AS ({DUCK}), edges AS (SELECT path AS src, '/in/' || n_name || '/items-' || CAST(doc_id AS VARCHAR) || '.csv' AS dst, 'reads' AS type FROM scripts
-UNION ALL SELECT path, '/out/' || n_name || '/totals-' || CAST(doc_id % 5 AS VARCHAR) || '.csv', 'writes' FROM scripts UNION ALL SELECT path, '/libs/common-' || CAST(doc_id % 7 AS VARCHAR), 'imports' FROM scripts)"""
+EDGES = f"{REFERENCES}, edges AS (SELECT path AS src, target AS dst, type FROM refs)"
 _FOLDER = "regexp_replace(path, '/[^/]*$', '')"
 _NESTED = "'/' || lang || '/' || source || '/' || CAST(doc_id % 7 AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR)"
 
@@ -29,9 +28,12 @@ def edge_type_counts(spark, d):
     return edges(spark, d).groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("dst").alias("targets"))
 
 
-@query("edge_occurrences", f"WITH {EDGES} SELECT dst, type, count(*) AS n, list(src ORDER BY src) AS sources FROM edges GROUP BY dst, type")
+@query("edge_occurrences", f"WITH {EDGES} SELECT dst, type, src, count(*) AS n, sum(count(*)) OVER (PARTITION BY dst, type)::BIGINT AS total FROM edges GROUP BY dst, type, src")
 def edge_occurrences(spark, d):
-    return edges(spark, d).groupBy("dst", "type").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("src")).alias("sources"))
+    """How often each script holds each edge, and how often the target is met in all: rows, so no target gathers a list."""
+    each = edges(spark, d).groupBy("dst", "type", "src").agg(F.count("*").alias("n"))
+    total = each.groupBy("dst", "type").agg(F.sum("n").alias("total"))
+    return each.join(total, ["dst", "type"]).select("dst", "type", "src", "n", "total")
 
 
 @query("edge_target_counts", f"WITH {EDGES}, c AS (SELECT dst, count(*) AS n FROM edges GROUP BY dst) SELECT dst, n, CAST(row_number() OVER (ORDER BY n DESC, dst) AS INTEGER) AS place FROM c QUALIFY place <= 20")
@@ -143,12 +145,117 @@ def tree_backoff(spark, d):
     return total.agg(F.max(F.when(F.col("rows") <= 200, F.col("depth"))).alias("level"))
 
 
-@query("symbol_nodes", f"WITH scripts AS ({DUCK}) SELECT path || '::table::Days' || CAST(doc_id AS VARCHAR) AS id, path AS src, 'table' AS type FROM scripts")
+@query(
+    "symbol_nodes",
+    rf"""WITH RECURSIVE {SCRIPT_LINES}, i AS (SELECT *, CASE WHEN trim(line) <> '' THEN length(line) - length(ltrim(line)) END AS ind FROM lines),
+t AS (SELECT path || '::table::' || regexp_extract(line, '^\s*table\s+(\w+)', 1) AS id, path AS src, 'table' AS type, trim(line) AS content, line_no AS line_start, line_no AS line_end, CAST([] AS VARCHAR[]) AS qualifiers FROM lines WHERE {case_sql()} = 'table'),
+h AS (SELECT *, regexp_extract(line, '^\s*(?:export\s+)?def\s+((?:\w+\s+)*\w+)\s*\(', 1) AS words, coalesce((SELECT min(x.line_no) - 1 FROM i x WHERE x.doc_id = i.doc_id AND x.line_no > i.line_no AND x.ind <= i.ind), (SELECT max(x.line_no) FROM i x WHERE x.doc_id = i.doc_id)) AS last FROM i WHERE regexp_matches(line, '^\s*(?:export\s+)?def\s')),
+f AS (SELECT path || '::func::' || string_split(words, ' ')[-1], path, 'function', (SELECT string_agg(x.line, chr(10) ORDER BY x.line_no) FROM i x WHERE x.doc_id = h.doc_id AND x.line_no BETWEEN h.line_no AND h.last), line_no, last, string_split(words, ' ')[:-2] FROM h)
+SELECT id, src, type, content, CAST(line_start AS INTEGER) AS line_start, CAST(line_end AS INTEGER) AS line_end, qualifiers FROM t UNION ALL SELECT * FROM f""",
+)
 def symbol_nodes(spark, d):
-    """Tables that scripts define, with the edge from the script."""
-    s = scripts(spark, d)
-    blocks = S.parse_scripts(s).where("block_type = 'table'").join(s.select("doc_id", "path"), "doc_id")
-    return blocks.select(F.concat_ws("::", "path", F.lit("table"), "name").alias("id"), F.col("path").alias("src"), F.lit("table").alias("type"))
+    """Tables and functions that scripts define, with the script that the edge comes from, their text and their lines."""
+    return G.symbol_nodes(scripts(spark, d))
+
+
+@query("script_nodes", f"WITH scripts AS ({DUCK}) SELECT path AS id, 'script' AS type, regexp_extract(path, '[^/]+$') AS name, path, 'scripts' AS domain, CAST(nullif(regexp_extract(regexp_extract(path, '[^/]+$'), '^(\\d+)[\\s._\\-]', 1), '') AS INTEGER) AS execution_order FROM scripts")
+def script_nodes(spark, d):
+    return G.script_nodes(scripts(spark, d))
+
+
+@query(
+    "graph_by_domain",
+    f"WITH {EDGES}, f AS (SELECT 'scripts' AS domain, path FROM scripts UNION SELECT 'data', dst FROM edges WHERE type <> 'imports'), s AS (SELECT domain, path, string_split(path, '/') AS x FROM f), "
+    "fold AS (SELECT DISTINCT domain, array_to_string(x[1:i], '/') AS folder FROM s, range(2, 9) r(i) WHERE i < len(x)), n AS (SELECT domain, {_P} AS folder, count(*) AS c FROM f GROUP BY ALL) "
+    "SELECT domain, (SELECT count(*) + 1 FROM fold g WHERE g.domain = n.domain) AS folders, CAST(sum(c) AS BIGINT) AS files, CAST(sum(c - 1) AS BIGINT) AS siblings FROM n GROUP BY domain".replace("{_P}", _FOLDER),
+)
+def graph_by_domain(spark, d):
+    """Folders, files and sibling edges of the two trees: scripts, and the data they read and write."""
+    e = edges(spark, d)
+    return G.domain_counts({"scripts": scripts(spark, d).select("path").distinct(), "data": e.where("type != 'imports'").select(F.col("dst").alias("path")).distinct()})
+
+
+@query(
+    "import_fallback",
+    f"WITH {EDGES}, m AS (SELECT DISTINCT '/libs/common-' || CAST(i AS VARCHAR) AS path, i FROM range(0, 3) r(i) UNION ALL SELECT 'libs/common-' || CAST(i AS VARCHAR), i + 10 FROM range(2, 5) r(i)) "
+    "SELECT e.src, e.dst AS raw, coalesce(a.path, b.path, e.dst) AS target, coalesce(a.i, b.i) AS file_id FROM edges e LEFT JOIN m a ON a.path = e.dst LEFT JOIN m b ON b.path = ltrim(e.dst, '/') WHERE e.type = 'imports'",
+)
+def import_fallback(spark, d):
+    """Imported paths looked up as they are, then without the leading slash; else they stay."""
+    m = spark.range(0, 3).select(F.concat(F.lit("/libs/common-"), F.col("id").cast("string")).alias("path"), F.col("id").alias("file_id"))
+    m = m.unionByName(spark.range(2, 5).select(F.concat(F.lit("libs/common-"), F.col("id").cast("string")).alias("path"), (F.col("id") + 10).alias("file_id")))
+    return G.resolve_imports(edges(spark, d).where("type = 'imports'").select("src", F.col("dst").alias("raw")), m)
+
+
+@query("search_statistics", f"WITH scripts AS ({DUCK}), h AS (SELECT 's' || CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 2 = 0 THEN 'script' ELSE 'data_file' END AS type FROM scripts WHERE contains('s' || CAST(doc_id AS VARCHAR), 's1') OR contains(lower(n_name), 's1') OR contains(lower(path), 's1')) SELECT type, count(*) AS matches, (SELECT least(20, count(*)) FROM h) AS total_matches FROM h GROUP BY type")
+def search_statistics(spark, d):
+    """Counts by type over all matches, and the total of those that the limit (20) lets through."""
+    nodes = scripts(spark, d).select(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("id"), F.col("n_name").alias("name"), "path", F.when(F.col("doc_id") % 2 == 0, "script").otherwise("data_file").alias("type"))
+    return G.search_statistics(nodes, "S1", 20)
+
+
+@query("siblings_of", f"WITH scripts AS ({DUCK}), s AS (SELECT path AS src, lead(path) OVER (PARTITION BY {_FOLDER} ORDER BY path) AS dst FROM scripts) SELECT src AS node, dst AS neighbour FROM s WHERE dst IS NOT NULL UNION ALL SELECT dst, src FROM s WHERE dst IS NOT NULL")
+def siblings_of(spark, d):
+    """Both neighbours of each script in its folder's chain."""
+    chain = G.sibling_chain(scripts(spark, d).select("path"), [F.col("path")]).drop("folder")
+    return G.neighbours(edges(spark, d).unionByName(chain), "siblings").select("node", "neighbour")
+
+
+@query("neighbors_lite", f"WITH {EDGES}, n AS (SELECT dst AS node, type FROM edges UNION ALL SELECT src, type FROM edges UNION ALL SELECT path, 'contains' FROM scripts) SELECT node, count(*) AS total, count(*) FILTER (WHERE type = 'reads') AS reads, count(*) FILTER (WHERE type = 'imports') AS imports, count(*) FILTER (WHERE type = 'writes') AS writes FROM n GROUP BY node")
+def neighbors_lite(spark, d):
+    """Neighbours by the three groups that are shown; the total counts all kinds but gives folders no row."""
+    up = scripts(spark, d).select(T.parent(F.col("path")).alias("src"), F.col("path").alias("dst"), F.lit("contains").alias("type"))
+    return G.neighbour_groups(edges(spark, d).unionByName(up))
+
+
+@query("nodes_by_type", f"WITH {EDGES} SELECT id, type, name FROM (SELECT DISTINCT dst AS id, CASE WHEN type = 'imports' THEN 'script' ELSE 'data_file' END AS type, regexp_extract(dst, '[^/]+$') AS name FROM edges) WHERE type = 'data_file'")
+def nodes_by_type(spark, d):
+    """Nodes that edges lead to, of one type."""
+    return G.nodes_of(edges(spark, d)).where("type = 'data_file'")
+
+
+@query(
+    "subtree_limited",
+    f"WITH p AS (SELECT string_split({_NESTED}, '/') AS x FROM documents), a AS (SELECT '/' AS folder, 0 AS depth, NULL AS parent FROM p UNION SELECT '/' || x[2], 1, '/' FROM p UNION SELECT '/' || x[2] || '/' || x[3], 2, '/' || x[2] FROM p) SELECT folder, CAST(depth AS INTEGER) AS depth, parent FROM a WHERE folder = '/' OR starts_with(folder, '/en') ",
+)
+def subtree_limited(spark, d):
+    """The tree below one folder, to the second level."""
+    return G.subtree(_paths(spark, d), "/", 2).where("folder = '/' or folder like '/en%'").select("folder", "depth", "parent")
+
+
+@query(
+    "tree_children",
+    f"WITH p AS (SELECT string_split({_NESTED}, '/') AS x FROM documents), c AS (SELECT DISTINCT '/' || x[2] || '/' || x[3] AS folder, x[4] AS name, true AS is_folder FROM p UNION SELECT '/' || x[2] || '/' || x[3], x[5] || '-f', false FROM p WHERE x[4] = '0') SELECT folder, name, is_folder, row_number() OVER (PARTITION BY folder ORDER BY is_folder DESC, TRY_CAST(regexp_extract(name, '^(\\d+)-', 1) AS INT) NULLS LAST, name)::INTEGER AS place FROM c",
+)
+def tree_children(spark, d):
+    """Children of a folder: folders first, then by execution order, then by name."""
+    x = _paths(spark, d).select(F.split("path", "/").alias("x"))
+    folder = F.concat(F.lit("/"), F.col("x")[1], F.lit("/"), F.col("x")[2]).alias("folder")
+    c = x.select(folder, F.col("x")[3].alias("name"), F.lit(True).alias("is_folder")).unionByName(x.where("x[3] = '0'").select(folder, F.concat(F.col("x")[4], F.lit("-f")).alias("name"), F.lit(False).alias("is_folder"))).distinct()
+    return G.sorted_children(c)
+
+
+@query(
+    "tree_render",
+    f"WITH p AS (SELECT DISTINCT string_split({_NESTED}, '/') AS x FROM documents), n AS (SELECT DISTINCT x[1:2] AS x, len(x) > 2 AS inner_ FROM p UNION SELECT DISTINCT x[1:3], len(x) > 3 FROM p UNION SELECT DISTINCT x[1:4], len(x) > 4 FROM p), "
+    "r AS (SELECT array_to_string(x[:-2], '/') AS folder, x[-1] AS name, len(x) - 1 AS depth, inner_, row_number() OVER (PARTITION BY x[:-2] ORDER BY x[-1]) AS place, count(*) OVER (PARTITION BY x[:-2]) AS n FROM n) "
+    "SELECT folder, depth::INTEGER AS depth, CASE WHEN place > 3 AND depth > 1 THEN '... (' || CAST(n - 3 AS VARCHAR) || ' more items)' ELSE name || CASE WHEN inner_ THEN '/' ELSE '' END END AS shown FROM r WHERE depth <= 2 AND (depth = 1 OR place <= 4)",
+)
+def tree_render(spark, d):
+    """What is shown of the tree with two levels and three children for each folder below the top; a row counts the others."""
+    return G.visible_rows(_paths(spark, d), 2, 3)
+
+
+@query(
+    "context_assembly",
+    "WITH RECURSIVE e AS (SELECT s_suppkey AS src, s_suppkey // 3 AS dst FROM supplier WHERE s_suppkey > 0), up AS (SELECT s_suppkey AS seed, s_suppkey AS node, 0 AS k FROM supplier WHERE s_suppkey % 10 = 0 UNION ALL SELECT up.seed, e.dst, k + 1 FROM up JOIN e ON e.src = up.node WHERE k < 20), "
+    "down AS (SELECT s_suppkey AS seed, s_suppkey AS node, 0 AS k FROM supplier WHERE s_suppkey % 10 = 0 UNION ALL SELECT down.seed, e.src, k + 1 FROM down JOIN e ON e.dst = down.node WHERE k < 20) SELECT DISTINCT seed, node FROM (SELECT seed, node FROM up UNION ALL SELECT seed, node FROM down)",
+)
+def context_assembly(spark, d):
+    """A chunk with all it depends on and all that depends on it."""
+    s = table(spark, d, "supplier")
+    e = s.where("s_suppkey > 0").select(F.col("s_suppkey").alias("src"), F.expr("s_suppkey div 3").alias("dst"))
+    return G.context_of(e, s.where("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("seed")))
 
 
 @query("edge_endpoints", f"WITH {EDGES} SELECT e.src, e.dst, s.doc_id AS src_id, t.doc_id AS dst_id FROM edges e LEFT JOIN scripts s ON s.path = e.src LEFT JOIN scripts t ON t.path = e.dst")

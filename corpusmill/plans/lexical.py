@@ -8,14 +8,11 @@ from ..functions import text as T
 from ..operators import grep as G
 from ..operators import scripts as S
 from ..registry import query
-from .inputs import DUCK, LINES, SCRIPT_LINES, scripts, table
+from .inputs import BLOCKS, DUCK, LINES, SCRIPT_LINES, case_sql, scripts, table
 
 P = "licen[sc]e"
 
 
-def case_sql(line: str = "line") -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({line}, '{p}') THEN '{n}'" for n, p in S.RULES) + " ELSE 'unknown' END"
-
 
 @query("grep_lines", f"WITH {LINES} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line FROM lines WHERE regexp_matches(line, '{P}', 'i')")
 def grep_lines(spark, d):
@@ -51,10 +48,12 @@ def grep_totals(spark, d):
     return G.grep_lines(table(spark, d, "documents"), P, ["doc_id", "source"]).agg(F.count("*").alias("matches"), F.countDistinct("doc_id").alias("documents"), F.countDistinct("source").alias("sources"))
 
 
-@query("grep_by_source", f"WITH {LINES} SELECT source, count(*) AS matches, list(DISTINCT doc_id ORDER BY doc_id) AS doc_ids FROM lines WHERE regexp_matches(line, '{P}', 'i') GROUP BY source")
+@query("grep_by_source", f"WITH {LINES}, m AS (SELECT source, doc_id, count(*) AS matches FROM lines WHERE regexp_matches(line, '{P}', 'i') GROUP BY ALL) SELECT source, doc_id, matches, sum(matches) OVER (PARTITION BY source)::BIGINT AS in_source FROM m")
 def grep_by_source(spark, d):
-    hits = G.grep_lines(table(spark, d, "documents"), P, ["doc_id", "source"])
-    return hits.groupBy("source").agg(F.count("*").alias("matches"), F.sort_array(F.collect_set("doc_id")).alias("doc_ids"))
+    """Documents by source with their matches and the source's: rows, so that no source gathers a list."""
+    each = G.grep_lines(table(spark, d, "documents"), P, ["doc_id", "source"]).groupBy("source", "doc_id").agg(F.count("*").alias("matches"))
+    total = each.groupBy("source").agg(F.sum("matches").alias("in_source")).withColumnRenamed("source", "s")
+    return each.join(total, F.col("source").eqNullSafe(F.col("s"))).select("source", "doc_id", "matches", "in_source")
 
 
 @query("grep_truncated", f"WITH {LINES}, h AS (SELECT '/' || lang || '/' || source || '/' || CAST(doc_id AS VARCHAR) AS path, CAST(line_no AS INTEGER) AS line_no FROM lines WHERE regexp_matches(line, 'tion', 'i')) SELECT * FROM h ORDER BY path, line_no LIMIT 50")
@@ -71,8 +70,9 @@ def grep_context_window(spark, d):
 
 
 @query("optimal_context_k", f"""WITH {LINES}, m AS (SELECT doc_id, line_no, regexp_matches(line, 'tion', 'i') AS hit FROM lines), n AS (SELECT doc_id, max(line_no) AS n, list(line_no ORDER BY line_no) FILTER (WHERE hit) AS ms FROM m GROUP BY doc_id HAVING count(*) FILTER (WHERE hit) > 0),
-v AS (SELECT n.doc_id, k, g.line_no FROM n, range(0, 201) r(k), LATERAL (SELECT line_no FROM m WHERE false) g), w AS (SELECT doc_id, k, list_sum(list_transform(range(2, len(ms) + 1), lambda i: least(ms[i] - ms[i - 1], 2 * k + 1) + (CASE WHEN ms[i] - ms[i - 1] > 2 * k + 1 THEN 1 ELSE 0 END))) AS inner_, ms, n FROM n, range(0, 201) r(k))
-SELECT doc_id, CAST(coalesce(max(k) FILTER (WHERE least(ms[1] - 1, k) + 1 + coalesce(inner_, 0) + least(n - ms[-1], k) <= 150), 0) AS INTEGER) AS k FROM w GROUP BY doc_id""".replace("v AS (SELECT n.doc_id, k, g.line_no FROM n, range(0, 201) r(k), LATERAL (SELECT line_no FROM m WHERE false) g), ", ""))
+w AS (SELECT doc_id, k, list_sum(list_transform(range(2, len(ms) + 1), lambda i: least(ms[i] - ms[i - 1], 2 * k + 1) + (CASE WHEN ms[i] - ms[i - 1] > 2 * k + 1 THEN 1 ELSE 0 END))) AS inner_, ms, n FROM n, range(0, 201) r(k)),
+t AS (SELECT doc_id, k, least(ms[1] - 1, k) + 1 + coalesce(inner_, 0) + least(n - ms[-1], k) AS total FROM w), u AS (SELECT *, lag(total) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM t)
+SELECT doc_id, CAST(coalesce(min(k) FILTER (WHERE k >= 2 AND total = before AND total <= 150), max(k) FILTER (WHERE total <= 150), 0) AS INTEGER) AS k FROM u GROUP BY doc_id""")
 def optimal_context_k(spark, d):
     p = G.pattern("tion")
     docs = table(spark, d, "documents").where(G.may_match(F.col("text"), p)).select("doc_id", T.lines(F.col("text")).alias("ls"))
@@ -86,20 +86,39 @@ def script_finder(spark, d):
     return G.find_scripts(scripts(spark, d).select("doc_id", "path"), targets)
 
 
-@query("reference_scan", f"""WITH {SCRIPT_LINES} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, coalesce(nullif(regexp_extract(line, '^\\s*(read|write|import)\\s[^"]*"([^"]+)"', 2), ''), nullif(regexp_extract(line, '"([^"]+)"', 1), '')) AS reference FROM lines WHERE contains(line, '"')""")
+@query("reference_scan", f"""WITH scripts AS ({DUCK}), r AS (SELECT doc_id, replace(replace(text, '{{folder}}', '/in/' || n_name), '{{region}}', n_name) AS text FROM scripts), lines AS (SELECT doc_id, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM r))
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, coalesce(nullif(regexp_extract(line, '\\b(read|write|import)\\s*:?\\s*"([^"]*)"', 2), ''), nullif(regexp_extract(line, '"([^"]+)"', 1), '')) AS reference FROM lines WHERE regexp_matches(line, '"[^"]+"')""")
 def reference_scan(spark, d):
-    """One reference a line: the path after a verb, else any quoted literal."""
-    verb, any_ = F.regexp_extract("line", r'^\s*(read|write|import)\s[^"]*"([^"]+)"', 2), F.regexp_extract("line", '"([^"]+)"', 1)
-    return G.line_table(scripts(spark, d)).where(F.contains("line", F.lit('"'))).select("doc_id", "line_no", F.coalesce(F.nullif(verb, F.lit("")), F.nullif(any_, F.lit(""))).alias("reference"))
+    """One reference a line: the path after a verb, else any quoted literal; constants filled in."""
+    s = scripts(spark, d).withColumn("text", S.resolved(F.col("text"), S.constants(F.col("text"))))
+    verb, any_ = F.regexp_extract("line", r'\b(read|write|import)\s*:?\s*"([^"]*)"', 2), F.regexp_extract("line", '"([^"]+)"', 1)
+    return G.line_table(s).where(F.col("line").rlike('"[^"]+"')).select("doc_id", "line_no", F.coalesce(F.nullif(verb, F.lit("")), F.nullif(any_, F.lit(""))).alias("reference"))
 
 
 @query("suffix_path_match", f"WITH scripts AS ({DUCK}), t(target) AS (VALUES ('5-script5.dsl'), ('x/7-script17')), b AS (SELECT doc_id, path, target, regexp_replace(path, '\\.[^./]*$', '') AS p, regexp_replace(target, '\\.[^./]*$', '') AS q FROM scripts, t) SELECT doc_id, path, target FROM b WHERE ends_with(p, q) OR ends_with(q, p)")
 def suffix_path_match(spark, d):
     """Without extensions, either is the other's end."""
     t = spark.createDataFrame([("5-script5.dsl",), ("x/7-script17",)], "target string")
-    bare = lambda c: F.regexp_replace(c, r"\.[^./]*$", "")
-    p, q = bare("path"), bare("target")
-    return scripts(spark, d).select("doc_id", "path").join(F.broadcast(t)).where(F.endswith(p, q) | F.endswith(q, p))
+    return G.suffix_matches(scripts(spark, d).select("doc_id", "path"), t)
+
+
+@query(
+    "path_search",
+    f"""WITH scripts AS ({DUCK}), r AS (SELECT doc_id, replace(replace(text, '{{folder}}', '/in/' || n_name), '{{region}}', n_name) AS text FROM scripts), lines AS (SELECT doc_id, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM r)),
+x AS (SELECT doc_id, line_no, regexp_extract(line, '\\b(read|write|import)\\s*:?\\s*"([^"]*)"', 1) AS verb, regexp_extract(line, '\\b(read|write|import)\\s*:?\\s*"([^"]*)"', 2) AS said, regexp_extract_all(line, '"([^"]*)"', 1) AS ls FROM lines)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CASE WHEN said LIKE '%NATION_1%' AND verb <> '' THEN verb ELSE 'literal' END AS verb, CASE WHEN said LIKE '%/NATION_1%' AND verb <> '' THEN said ELSE list_filter(ls, lambda t: t LIKE '%/NATION_1%')[1] END AS resolved FROM x WHERE len(list_filter(ls, lambda t: t LIKE '%/NATION_1%')) > 0""".replace("said LIKE '%NATION_1%'", "said LIKE '%/NATION_1%'"),
+)
+def path_search(spark, d):
+    """Lines that refer to a path that is spelled out nowhere, only through constants."""
+    return G.path_search(scripts(spark, d), "[/]nation_1")
+
+
+@query("grep_resolved", f"WITH RECURSIVE {BLOCKS} SELECT b.doc_id, b.block_no FROM blocks b JOIN scripts s USING (doc_id) WHERE regexp_matches(replace(replace(b.content, '{{folder}}', '/in/' || s.n_name), '{{region}}', s.n_name), 'in/nation_1\\d/items', 'i')")
+def grep_resolved(spark, d):
+    """Blocks that match a path after their script's constants are filled in."""
+    s = scripts(spark, d)
+    b = S.parse_scripts(s).join(s.select("doc_id", S.constants(F.col("text")).alias("consts")), "doc_id")
+    return G.grep_resolved(b, r"in/nation_1\d/items", F.col("consts")).select("doc_id", F.col("block_no").cast("long").alias("block_no"))
 
 
 @query("source_substring_filter", "SELECT doc_id, source FROM documents WHERE contains(source, 'c1') OR contains(source, 'src7')")

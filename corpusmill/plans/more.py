@@ -12,9 +12,9 @@ from ..operators import grep
 from ..operators import retrieval as R
 from ..operators import scripts as S
 from ..registry import query
+from ..shared import numbered
 from .graph import EDGES, edges
-from .inputs import DUCK, LINES, SCRIPT_LINES, scripts, table
-from .lexical import case_sql
+from .inputs import BLOCKS, LINES, SCRIPT_LINES, case_sql, scripts, table
 from .search import _DENSE_SQL, _FUSED_SQL, QUERY, _dense, _sparse_sql
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
@@ -52,20 +52,31 @@ def cosine_grade(spark, d):
     return a.join(b, "vec_id").agg(F.round(F.avg(V.cosine(F.col("x"), F.col("y"))), 6).alias("mean_score"), F.count("*").alias("n"))
 
 
-@query("results_from_question", "SELECT item_id, CAST(row_number() OVER (ORDER BY item_id) AS INTEGER) AS n FROM benchmark QUALIFY n >= 5")
+@query("results_from_question", "SELECT item_id, row_number() OVER (ORDER BY item_id) AS n FROM benchmark QUALIFY n >= 5")
 def results_from_question(spark, d):
     """The fifth question and all after it."""
-    x = table(spark, d, "benchmark").select("item_id", F.row_number().over(Window.orderBy("item_id")).alias("n"))
-    return x.where("n >= 5")
+    return numbered(table(spark, d, "benchmark").select("item_id"), ["item_id"]).where("n >= 5")
 
 
-@query("definition_index", f"WITH scripts AS ({DUCK}) SELECT unnest(['Lib', 'Rate', 'folder', 'region']) AS name, count(*) AS scripts, min(doc_id) AS first_script FROM scripts GROUP BY 1 UNION ALL SELECT unnest(['Items', 'Days', 'Top']) AS name, count(*), min(doc_id) FROM scripts GROUP BY 1")
+@query("definition_index", f"WITH RECURSIVE {BLOCKS}, x AS (SELECT DISTINCT doc_id, regexp_replace(unnest(definitions), '\\d+$', '') AS name FROM blocks) SELECT name, count(*) AS scripts, min(doc_id) AS first_script FROM x GROUP BY name")
 def definition_index(spark, d):
     """Which scripts define a name (numbers at its end left off)."""
-    blocks = S.parse_scripts(scripts(spark, d)).where("block_type != 'section_header'").select("doc_id", F.explode("definitions").alias("name"))
+    blocks = S.parse_scripts(scripts(spark, d)).select("doc_id", F.explode("definitions").alias("name"))
     return blocks.select("doc_id", F.regexp_replace("name", r"\d+$", "").alias("name")).distinct().groupBy("name").agg(F.count("*").alias("scripts"), F.min("doc_id").alias("first_script"))
 
 
+@query(
+    "dependency_index",
+    f"WITH RECURSIVE {BLOCKS}, x AS (SELECT 'dependent' AS kind, doc_id, regexp_replace(unnest(dependencies), '\\d+$', '') AS name FROM blocks UNION SELECT 'type', doc_id, block_type FROM blocks) SELECT kind, name, count(*) AS scripts, min(doc_id) AS first_script FROM x GROUP BY kind, name",
+)
+def dependency_index(spark, d):
+    """Which scripts need a name, and which have a type of block."""
+    b = S.parse_scripts(scripts(spark, d))
+    needs = b.select(F.lit("dependent").alias("kind"), "doc_id", F.explode("dependencies").alias("name")).withColumn("name", F.regexp_replace("name", r"\d+$", ""))
+    types = b.select(F.lit("type").alias("kind"), "doc_id", F.col("block_type").alias("name"))
+    return needs.unionByName(types).distinct().groupBy("kind", "name").agg(F.count("*").alias("scripts"), F.min("doc_id").alias("first_script"))
+
+
 @query("child_ordinals", "SELECT doc_id, source || '.' || CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS VARCHAR) AS ordinal FROM documents")
 def child_ordinals(spark, d):
     n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
@@ -88,18 +99,26 @@ def indented_bodies(spark, d):
     return out.where("n > 1").select("doc_id", "line_start", "line_end")
 
 
-@query("advanced_rag", f"""WITH {_sparse_sql(QUERY, 50)}, {_DENSE_SQL}, {_FUSED_SQL.format(more='')}, top AS (SELECT doc_id FROM fused ORDER BY score DESC, doc_id LIMIT 40),
-    o AS (SELECT doc_id, len(list_intersect(list_distinct({_WORDS}), ['the', 'and', 'of', 'thing'])) AS hits FROM top JOIN documents USING (doc_id)), g AS (SELECT doc_id, round(1 / (1 + exp(-(2 * hits - 5.0))), 6) AS score FROM o)
-    SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM (SELECT *, max(score) OVER () AS best FROM g) WHERE score >= 0.15 AND score >= 0.4 * best QUALIFY rank <= 10""")
+_VARIANTS = (QUERY, "of the thing", "is to be")
+_MULTI = ", ".join(_sparse_sql(t, 50).replace("t AS (", f"t{i} AS (", 1).replace("FROM t GROUP", f"FROM t{i} GROUP").replace("c AS (", f"c{i} AS (", 1).replace("w(term", f"w{i}(term").replace("FROM c JOIN w", f"FROM c{i} JOIN w{i}").replace("\n    s AS", f"\n    s{i} AS").replace("sparse AS", f"p{i} AS").replace("FROM s Q", f"FROM s{i} Q") for i, t in enumerate(_VARIANTS))
+
+
+@query("advanced_rag", f"""WITH {_MULTI}, {_DENSE_SQL}, every AS (SELECT doc_id, rank FROM dense UNION ALL SELECT doc_id, rank FROM p0 UNION ALL SELECT doc_id, rank FROM p1 UNION ALL SELECT doc_id, rank FROM p2),
+    fused AS (SELECT min(doc_id) AS doc_id, text, round(sum(1.0 / (10 + rank)), 8) AS score FROM every JOIN documents USING (doc_id) GROUP BY text), top AS (SELECT * FROM fused ORDER BY score DESC, doc_id LIMIT 40),
+    o AS (SELECT doc_id, len(list_intersect(list_distinct({_WORDS}), ['the', 'and', 'of', 'thing'])) AS hits FROM top), g AS (SELECT doc_id, round(1 / (1 + exp(-(2 * hits - 5.0))), 6) AS score FROM o)
+    SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank, replace('in {{lang}}', '{{lang}}', lang) AS shown FROM (SELECT *, max(score) OVER () AS best FROM g) JOIN documents USING (doc_id) WHERE score >= 0.15 AND score >= 0.4 * best QUALIFY rank <= 10""")
 def advanced_rag(spark, d):
-    """Hybrid search for more than is asked, re-ranked, cut where scores drop off, the first ten."""
+    """Hybrid search with variants of the question, merged by content, re-ranked, cut where scores drop off; the first ten, constants filled in."""
     from ..functions import text as T
 
     docs = table(spark, d, "documents")
-    found = R.fuse([_dense(spark, d), R.sparse_search(docs, QUERY, 50)], 40).join(docs.select("doc_id", "text"), "doc_id").withColumn("q", F.lit(1))
+    every = _dense(spark, d).select("doc_id", "rank").unionByName(R.sparse_search_all(docs, list(_VARIANTS), 50).select("doc_id", "rank")).join(docs.select("doc_id", "text"), "doc_id")
+    merged = every.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.round(F.sum(1.0 / (10 + F.col("rank"))), 8).alias("score")).orderBy(F.desc("score"), "doc_id").limit(40)
+    found = merged.withColumn("rank", F.lit(0)).withColumn("q", F.lit(1))
     logit = 2 * F.size(F.array_intersect(T.words(F.col("text")), F.array(*map(F.lit, QUERY.split())))) - 5.0
-    kept = R.drop_off(R.rerank(found, lambda r: logit, ["q"], ["doc_id"]), by=["q"])
-    return kept.where("rank <= 10").select("doc_id", "score", "rank")
+    kept = R.drop_off(R.rerank(found, lambda r: logit, ["q"], ["doc_id"]), by=["q"]).where("rank <= 10").select("doc_id", "score", "rank")
+    shown = S.resolved(F.lit("in {lang}"), F.create_map(F.lit("lang"), "lang"))
+    return kept.join(docs.select("doc_id", "lang"), "doc_id").select("doc_id", "score", "rank", shown.alias("shown"))
 
 
 @query("network_update", f"WITH {EDGES} SELECT src, dst, type FROM edges WHERE type <> 'imports' UNION ALL SELECT src, dst || '@v2', 'imports' FROM edges WHERE type = 'imports'")
@@ -117,11 +136,12 @@ def query_variants(spark, d):
     return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.explode(each).alias("variant"))
 
 
-@query("knowledge_bank", "SELECT conv_id, string_agg('- ' || left(text, 30), chr(10) ORDER BY turn) AS facts, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
+@query("knowledge_bank", "SELECT conv_id, turn // 50 AS part, string_agg('- ' || text, chr(10) ORDER BY turn, text) AS facts, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY ALL")
 def knowledge_bank(spark, d):
-    x = table(spark, d, "conversations").where("role = 'assistant'")
-    facts = F.sort_array(F.collect_list(F.struct("turn", F.concat(F.lit("- "), F.substring("text", 1, 30)).alias("t"))))
-    return x.groupBy("conv_id").agg(F.array_join(F.transform(facts, lambda f: f["t"]), "\n").alias("facts"), F.count("*").alias("n"))
+    """Each conversation's facts as lists of 50 turns at most, so that a long one isn't one row."""
+    x = table(spark, d, "conversations").where("role = 'assistant'").withColumn("part", F.expr("turn div 50"))
+    facts = F.sort_array(F.collect_list(F.struct("turn", F.col("text").alias("t"))))
+    return x.groupBy("conv_id", "part").agg(F.array_join(F.transform(facts, lambda f: F.concat(F.lit("- "), f["t"])), "\n").alias("facts"), F.count("*").alias("n"))
 
 
 @query("action_steps", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, props->>'$.k' AS argument FROM events")

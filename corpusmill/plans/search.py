@@ -47,9 +47,11 @@ def l2_topk(spark, d):
     return R.dense_search(_t(spark, d, "embeddings"), _queries(spark, d, 1), 10, "l2")
 
 
-@query("batch_knn", _knn_sql(20, 5, _COS.format(a="v.embedding", b="q.embedding"), "DESC"))
+@query("batch_knn", _knn_sql(1, 5, _COS.format(a="v.embedding", b="q.embedding"), "DESC").replace("q.vec_id < 1", "q.vec_id % 100 = 0"))
 def batch_knn(spark, d):
-    return R.dense_search(_t(spark, d, "embeddings"), _queries(spark, d, 20), 5, "cosine")
+    """Every row whose id is divisible by 100 against all rows."""
+    e = _t(spark, d, "embeddings")
+    return R.dense_search(e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 5, "cosine")
 
 
 @query("normalize_vectors", f"SELECT vec_id, round(sqrt({_DOT.format(a='embedding', b='embedding')}), 6) AS norm_before, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) / sqrt({_DOT.format(a='embedding', b='embedding')}), 6)) AS unit FROM embeddings")
@@ -70,13 +72,15 @@ def pairwise_similarity(spark, d):
     return a.join(b, "vec_id").select("vec_id", "next_id", F.round(V.cosine(F.col("x"), F.col("y")), 6).alias("similarity"))
 
 
-@query("dedup_topk", f"""WITH s AS (SELECT v.vec_id, v.label, {_COS.format(a='v.embedding', b='q.embedding')} AS score FROM embeddings v JOIN embeddings q ON q.vec_id = 0 AND v.vec_id <> 0),
- r AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM s), t AS (SELECT * FROM r WHERE rank <= 30), u AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY rank) AS n FROM t)
- SELECT CAST(0 AS BIGINT) AS query_id, vec_id, label, score, CAST(row_number() OVER (ORDER BY rank) AS INTEGER) AS rank FROM u WHERE n = 1""")
+@query("dedup_topk", f"""WITH s AS (SELECT v.vec_id, {_COS.format(a='v.embedding', b='q.embedding')} AS score FROM embeddings v JOIN embeddings q ON q.vec_id = 0 AND v.vec_id <> 0),
+ r AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM s), t AS (SELECT r.*, trim(left(d.text, 200)) || '|' || d.lang || '|' || coalesce(d.source, '') AS k FROM r JOIN documents d ON d.doc_id = r.vec_id WHERE rank <= 60),
+ u AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY rank) AS n FROM t) SELECT CAST(0 AS BIGINT) AS query_id, vec_id, score, CAST(row_number() OVER (ORDER BY rank) AS INTEGER) AS rank FROM u WHERE n = 1""")
 def dedup_topk(spark, d):
-    e = _t(spark, d, "embeddings")
-    found = R.dense_search(e, _queries(spark, d, 1), 30).join(e.select("vec_id", "label"), "vec_id")
-    return R.dedup_best(found, F.col("label"), ["query_id"]).select("query_id", "vec_id", "label", "score", "rank")
+    """Of results that begin alike (200 characters) under one name and path the best one stays."""
+    docs = _t(spark, d, "documents").withColumnRenamed("doc_id", "vec_id")
+    found = R.dense_search(_t(spark, d, "embeddings"), _queries(spark, d, 1), 60).join(docs, "vec_id")
+    key = F.concat_ws("|", F.trim(F.substring("text", 1, 200)), "lang", F.coalesce("source", F.lit("")))
+    return R.dedup_best(found, key, ["query_id"]).select("query_id", "vec_id", "score", "rank")
 
 
 @query("index_info", "SELECT 'flat' AS index_type, CAST(max(len(embedding)) AS INTEGER) AS dims, count(*) AS vectors, count(DISTINCT label) AS labels, true AS trained FROM embeddings")
@@ -162,8 +166,7 @@ _TEXTS = ("the thing", "of and the", "is to be")
 def multi_query_rrf_merge(spark, d):
     """Rewrites of one question, fused by content with the constant 10."""
     docs = _t(spark, d, "documents")
-    streams = [R.sparse_search(docs, t, 25) for t in _TEXTS]
-    every = streams[0].unionByName(streams[1]).unionByName(streams[2]).join(docs.select("doc_id", "text"), "doc_id")
+    every = R.sparse_search_all(docs, list(_TEXTS), 25).join(docs.select("doc_id", "text"), "doc_id")
     scored = every.groupBy("text").agg(F.round(F.sum(1.0 / (10 + F.col("rank"))), 8).alias("score"), F.min("doc_id").alias("doc_id"))
     return scored.select("doc_id", "score").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).cast("int")).where("rank <= 20")
 
@@ -200,3 +203,51 @@ def rerank_overlap(spark, d):
 def score_filter(spark, d):
     """Score threshold and type filter on results."""
     return _dense(spark, d).where("score >= 0.1").join(_t(spark, d, "documents").select("doc_id", "lang"), "doc_id").where(F.col("lang").isin("en", "fr")).select("doc_id", "score", "lang")
+
+
+_HASHED = "list_transform(range(0, 16), lambda i: CAST(len(list_filter(w, lambda x: (length(x) + ascii(x)) % 16 = i)) AS DOUBLE))"
+
+
+def _embed(text):
+    """A vector of 16 counts of words, by length and first letter: an encoder that both engines can be."""
+    slots = F.transform(T.words(text), lambda w: ((F.length(w) + F.ascii(w)) % 16).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("float"))
+
+
+_EMBEDDED = f"docs AS (SELECT doc_id, {_TOKS} AS w, text FROM documents), v AS (SELECT doc_id, {_HASHED} AS e FROM docs)"
+
+
+def _vectors(spark, d):
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), _embed(F.col("text")).alias("embedding"))
+
+
+@query("search_by_text", f"WITH {_EMBEDDED}, q AS (SELECT {_HASHED} AS e FROM (SELECT regexp_extract_all(lower('The thing of the Question'), '[\\p{{L}}\\p{{N}}_]+') AS w)), s AS (SELECT doc_id AS vec_id, coalesce(round(list_dot_product(v.e, q.e) / nullif(sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q.e, q.e)), 0), 6), 0.0) AS score FROM v, q) SELECT CAST(-1 AS BIGINT) AS query_id, vec_id, score, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10")
+def search_by_text(spark, d):
+    """A text is embedded as the documents were, then searched."""
+    return R.search_text(_vectors(spark, d), "The thing of the Question", _embed, 10)
+
+
+@query("hybrid_embed", f"WITH p AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'sum ' || lang ELSE text END AS prepared, text FROM documents), x AS (SELECT doc_id, regexp_extract_all(lower(prepared), '[\\p{{L}}\\p{{N}}_]+') AS w, {_TOKS} AS raw FROM p) SELECT doc_id, {_HASHED} AS dense, len(list_distinct(raw)) AS n_terms, len(raw) AS n_words FROM x")
+def hybrid_embed(spark, d):
+    """Dense vectors from the prepared text (a summary where there is one), sparse terms from the text itself."""
+    docs = _t(spark, d, "documents")
+    prepared = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("sum "), "lang")).otherwise(F.col("text"))
+    raw = T.words(F.col("text"))
+    return docs.select("doc_id", F.transform(_embed(prepared), lambda x: x.cast("double")).alias("dense"), F.size(F.array_distinct(raw)).cast("long").alias("n_terms"), F.size(raw).cast("long").alias("n_words"))
+
+
+@query("query_hybrid_embed", f"WITH q AS (SELECT conv_id, turn, text, text || ' ' || array_to_string(['alpha', 'the'], ' ') AS more FROM conversations WHERE role = 'user'), x AS (SELECT conv_id, turn, {_TOKS} AS w, regexp_extract_all(lower(more), '[\\p{{L}}\\p{{N}}_]+') AS s FROM q), t AS (SELECT conv_id, turn, unnest(s) AS term, len(s) AS n FROM x), c AS (SELECT conv_id, turn, n, term, count(*) AS c FROM t GROUP BY ALL), g AS (SELECT conv_id, turn, round(sum({_TF}), 6) AS weight, count(*) AS terms FROM c GROUP BY conv_id, turn) SELECT conv_id, turn, {_HASHED} AS dense, g.terms, g.weight FROM x JOIN g USING (conv_id, turn)")
+def query_hybrid_embed(spark, d):
+    """A question's dense vector, and the sparse one of the question with its keywords, by the encoder of the documents."""
+    q = _t(spark, d, "conversations").where("role = 'user'").withColumn("key", F.struct("conv_id", "turn"))
+    sparse = R.term_weights(q.withColumn("more", F.concat_ws(" ", "text", F.lit("alpha"), F.lit("the"))), id_col="key", text_col="more")
+    sums = sparse.groupBy("key").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 6).alias("weight"))
+    dense = q.select("key", F.transform(_embed(F.col("text")), lambda x: x.cast("double")).alias("dense"))
+    return dense.join(sums, "key").select("key.conv_id", "key.turn", "dense", "terms", "weight")
+
+
+@query("rehydrate_results", f"WITH {_DENSE_SQL} SELECT dense.doc_id, dense.rank, dense.score, length(x.text) AS stored, x.lang FROM dense LEFT JOIN (SELECT * FROM documents WHERE doc_id % 4 <> 1) x USING (doc_id)")
+def rehydrate_results(spark, d):
+    """Results with the rows of a store that lacks some."""
+    store = _t(spark, d, "documents").where("doc_id % 4 != 1").select("doc_id", F.length("text").cast("long").alias("stored"), "lang")
+    return R.store_rows(_dense(spark, d), store).select("doc_id", "rank", "score", "stored", "lang")
