@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("search", "lexical", "parsing", "graph", "evaluation", "more")
+MODULES: tuple[str, ...] = ("search", "lexical", "parsing", "graph", "evaluation", "stores", "more")
 
 
 def load() -> None:

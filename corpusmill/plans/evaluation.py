@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,34 +10,38 @@ from pyspark.sql.window import Window
 from .. import sources, streaming
 from ..functions import text as T
 from ..operators import evaluation as E
-from ..operators.clustering import roll_up, soft_clusters
+from ..operators.clustering import levels, roll_up, soft_clusters
 from ..registry import query
+from ..shared import joined_in_blocks, scratch
 from .inputs import DUCK, scripts, table
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 _NORM = "regexp_replace(lower(regexp_replace({x}, '\\s+', '', 'g')), '[^\\p{{L}}\\p{{N}}_/.\\-]', '', 'g')"
 
 
-@query("hybrid_grade", f"""WITH p AS (SELECT b.item_id, d.doc_id, {_NORM.format(x='d.text')} AS r, list_filter(list_transform(string_split(b.text, chr(10)), lambda x: {_NORM.format(x='x')}), lambda x: x <> '') AS ls FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40)
-SELECT item_id, doc_id, CAST(len(list_filter(ls, lambda x: contains(r, x))) AS INTEGER) AS matched, CASE WHEN len(ls) > 0 AND len(list_filter(ls, lambda x: contains(r, x))) = len(ls) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM p""")
+@query("hybrid_grade", f"""WITH p AS (SELECT b.item_id, b.item_id % 4 <> 3 AS deterministic, {_NORM.format(x="d.text || CASE WHEN b.item_id % 3 = 0 THEN chr(10) || replace(b.text, ' ', ' , ') ELSE '' END")} AS r, list_filter(list_transform(string_split(b.text, chr(10)), lambda x: {_NORM.format(x='x')}), lambda x: x <> '') AS ls FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)
+SELECT item_id, CASE WHEN deterministic THEN CAST(len(list_filter(ls, lambda x: contains(r, x))) AS INTEGER) END AS matched, CASE WHEN NOT deterministic THEN round(0.6 * exp(1.0) / (exp(1.0) + 2) + 0.4 / (1 + exp(-(item_id % 11 - 5.0))), 6) WHEN len(ls) > 0 AND len(list_filter(ls, lambda x: contains(r, x))) = len(ls) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score, CASE WHEN deterministic THEN 'containment' ELSE 'model' END AS method FROM p""")
 def hybrid_grade(spark, d):
-    """Each benchmark item against the answers paired with it."""
-    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("reference"), (F.col("item_id") % 40).alias("g"))
-    a = table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("g"))
-    met, score = E.containment_grade(F.col("text"), F.col("reference"))
-    return b.join(a, "g").select("item_id", "doc_id", met.alias("matched"), score.alias("score"))
+    """Each question's answer: by containment of its reference where that is fixed, else by the cross-encoders' logits."""
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("reference"), (F.col("item_id") % 4 != 3).alias("deterministic"))
+    a = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    said = F.concat("text", F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("\n"), F.replace("reference", F.lit(" "), F.lit(" , ")))).otherwise(F.lit("")))
+    model = F.round(E.dual_grade(F.lit(1.0), F.lit(0.0), F.lit(0.0), (F.col("item_id") % 11) - 5.0), 6)
+    return E.hybrid_grade(b.join(a, "item_id").withColumn("response", said), model).select("item_id", "matched", "score", "method")
+
+
+@query("mean_grades", "WITH g AS (SELECT CASE doc_id % 5 WHEN 0 THEN NULL ELSE (doc_id % 3) / 2.0::DOUBLE END AS score FROM documents) SELECT round(avg(score), 6) AS mean_score, count(*) FILTER (WHERE score > 0) AS correct, count(*) FILTER (WHERE score IS NULL) AS issues, count(*) AS n FROM g")
+def mean_grades(spark, d):
+    g = table(spark, d, "documents").select(F.when(F.col("doc_id") % 5 != 0, (F.col("doc_id") % 3) / 2.0).alias("score"))
+    return E.mean_grade(g).withColumn("mean_score", F.round("mean_score", 6))
 
 
 @query("reference_coverage", "SELECT b.item_id, count(*) AS documents FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def reference_coverage(spark, d):
+    """In how many texts each reference stands whole; the references go to the texts in blocks."""
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("reference"))
-    return table(spark, d, "documents").join(F.broadcast(b), F.expr("contains(text, reference)")).groupBy("item_id").agg(F.count("*").alias("documents"))
+    hits = joined_in_blocks(table(spark, d, "documents").select("text"), b, F.expr("contains(text, reference)"), 1000, lambda x: x.select("item_id"))
+    return hits.groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
 _LOGITS = "(doc_id % 7) - 3.0"
@@ -59,20 +62,35 @@ def judge_json_parse(spark, d):
     return table(spark, d, "documents").select("doc_id", E.judge_score(reply, 1, 5).alias("score"))
 
 
-@query("judge_agreement", "SELECT count(*) AS n, sum(CASE WHEN quality = toxic THEN 0 ELSE 1 END)::BIGINT AS agree, round(avg(CASE WHEN quality = 1 - toxic THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS agreement FROM labels")
+@query("judge_binary", """WITH r AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '{"score": 1}' WHEN 1 THEN 'ok {"score": 0, "reasoning": "no"}' WHEN 2 THEN '{"score": 2}' WHEN 3 THEN 'none' ELSE '{"score": null}' END AS reply FROM documents), s AS (SELECT doc_id, TRY_CAST(nullif(regexp_extract(reply, '"score": (\\d+)', 1), '') AS INT) AS raw FROM r)
+SELECT round(avg(raw) FILTER (WHERE raw IN (0, 1)), 6) AS mean_score, count(*) FILTER (WHERE raw = 1) AS correct, count(*) FILTER (WHERE raw IS NULL OR raw NOT IN (0, 1)) AS issues, count(*) AS n FROM s""")
+def judge_binary(spark, d):
+    """Replies that must say 0 or 1; others are issues and don't count in the mean."""
+    m = F.col("doc_id") % 5
+    reply = F.when(m == 0, '{"score": 1}').when(m == 1, 'ok {"score": 0, "reasoning": "no"}').when(m == 2, '{"score": 2}').when(m == 3, "none").otherwise('{"score": null}')
+    return E.mean_grade(table(spark, d, "documents").select(E.judge_score(reply, 0, 1).alias("score"))).withColumn("mean_score", F.round("mean_score", 6))
+
+
+@query("judge_agreement", "WITH j AS (SELECT 'q' || CAST(doc_id AS VARCHAR) AS question, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id % 2 END AS score FROM documents), r AS (SELECT 'q' || CAST(doc_id AS VARCHAR) AS question, toxic AS want FROM labels) SELECT CAST(sum((score = want)::INT) AS BIGINT) AS agree, count(*) AS n, round(avg((score = want)::INT), 6) AS agreement FROM j JOIN r USING (question) WHERE score IS NOT NULL")
 def judge_agreement(spark, d):
-    same = (F.col("quality") == 1 - F.col("toxic")).cast("int")
-    return table(spark, d, "labels").agg(F.count("*").alias("n"), F.sum(same).alias("agree"), F.round(F.avg(same), 6).alias("agreement"))
+    """A judge's verdicts against a calibration set read from JSON, by question."""
+    at, name = scratch(spark, "calibration"), F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("question")
+    table(spark, d, "labels").select(name, F.lit("x").alias("llm_answer"), F.lit("y").alias("reference"), F.col("toxic").alias("score")).write.json(at)
+    judged = table(spark, d, "documents").select(name, F.when(F.col("doc_id") % 7 != 0, F.col("doc_id") % 2).alias("score"))
+    return E.judge_against(judged, sources.read_judgements(spark, at, one_list=False).select("question", "score")).withColumn("agreement", F.round("agreement", 6))
 
 
-@query("path_validation", f"""WITH scripts AS ({DUCK}), c AS (SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN lower(path) WHEN 1 THEN lower('y' || path) ELSE '/none/' || CAST(doc_id AS VARCHAR) END AS cited, path FROM scripts)
-SELECT id, cited, CASE id % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'suffix' ELSE 'invalid' END AS status, CASE WHEN id % 3 < 2 THEN path END AS path FROM c""")
+@query("path_validation", rf"""WITH scripts AS ({DUCK}), c AS (SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN ltrim(lower(path), '/') WHEN 1 THEN lower('y' || path) WHEN 2 THEN '/none/' || CAST(doc_id AS VARCHAR) || '.dsl' ELSE '/data/x' || CAST(doc_id AS VARCHAR) || '.csv' END AS cited FROM scripts),
+k AS (SELECT path, ltrim(regexp_replace(lower(path), '\.(dsl|lib)$', ''), '/') AS key FROM scripts), a AS (SELECT *, ltrim(regexp_replace(cited, '\.(dsl|lib)$', ''), '/') AS ckey, ends_with(cited, '.csv') AS ignored FROM c),
+m AS (SELECT a.*, (SELECT max(path) FROM k WHERE k.key = a.ckey) AS exact, (SELECT count(*) FROM k WHERE ends_with(k.key, a.ckey) OR ends_with(a.ckey, k.key)) AS n, (SELECT min(path) FROM k WHERE ends_with(k.key, a.ckey) OR ends_with(a.ckey, k.key)) AS near FROM a)
+SELECT id, cited, CASE WHEN ignored THEN 'ignored' WHEN exact IS NOT NULL THEN 'exact' WHEN n = 1 THEN 'suffix' ELSE 'invalid' END AS status, CASE WHEN ignored THEN NULL WHEN exact IS NOT NULL THEN exact WHEN n = 1 THEN near END AS path FROM m""")
 def path_validation(spark, d):
-    """Paths cited in answers: as they are, with something before, or made up."""
-    s, m = scripts(spark, d), F.col("doc_id") % 3
-    said = F.when(m == 0, F.concat(F.lit("see "), "path", F.lit("."))).when(m == 1, F.concat(F.lit("in `y"), "path", F.lit("` only"))).otherwise(F.concat(F.lit('at "/none/'), F.col("doc_id").cast("string"), F.lit('"')))
-    cited = s.select(F.col("doc_id").alias("id"), F.explode(E.cited_paths(said)).alias("cited"), m.alias("m")).where("m != 1 or cited like 'y%'").drop("m")
-    return E.validate_paths(cited, s.select("path"))
+    """Paths cited in answers: without the first slash, with something before, made up, or of a data file."""
+    s, m = scripts(spark, d), F.col("doc_id") % 4
+    number = F.col("doc_id").cast("string")
+    said = F.when(m == 0, F.concat(F.lit("see `"), F.expr("substring(path, 2)"), F.lit("`."))).when(m == 1, F.concat(F.lit("in `y"), "path", F.lit("` only"))).when(m == 2, F.concat(F.lit('at "/none/'), number, F.lit('.dsl" and /none/'), number, F.lit(".dsl"))).otherwise(F.concat(F.lit("from /data/x"), number, F.lit(".csv")))
+    cited = s.select(F.col("doc_id").alias("id"), F.explode(E.cited_paths(said)).alias("cited"))
+    return E.validate_paths(cited, s.select("path"), ignore_data=True)
 
 
 @query("tool_stats", "SELECT event_type AS tool, count(*) AS calls, round(sum(value), 4) AS seconds, round(avg(value), 6) AS mean_seconds, round(100 * sum(value) / sum(sum(value)) OVER (), 6) AS percent FROM events GROUP BY event_type")
@@ -116,11 +134,23 @@ def recent_tools(spark, d):
     return last.groupBy("user_id", "event_type").agg(F.count("*").alias("uses")).where("uses >= 2")
 
 
-@query("evidence_lookup", "WITH e AS (SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text) SELECT 'ev_' || left(sha256(text), 16) AS evidence_id, doc_id FROM e")
+@query("evidence_lookup", "WITH e AS (SELECT 'ev_' || left(sha256(text), 16) AS evidence_id, min(doc_id) AS doc_id FROM documents GROUP BY 1), a AS (SELECT item_id AS id, 'ev_' || left(sha256(coalesce(d.text, b.text)), 16) AS evidence_id FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id AND b.item_id % 2 = 0) SELECT a.id, a.evidence_id, e.doc_id IS NOT NULL AS found, e.doc_id FROM a LEFT JOIN e USING (evidence_id)")
 def evidence_lookup(spark, d):
-    """The first document of each content, under an id made of the content."""
-    ids = table(spark, d, "documents").select(T.evidence_id(F.col("text")).alias("evidence_id"), "doc_id")
-    return ids.groupBy("evidence_id").agg(F.min("doc_id").alias("doc_id"))
+    """Ids made of contents, looked up among the first documents of each content; some are of nothing that is stored."""
+    docs = table(spark, d, "documents")
+    store = docs.select(T.evidence_id(F.col("text")).alias("evidence_id"), "doc_id").groupBy("evidence_id").agg(F.min("doc_id").alias("doc_id"))
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("own"))
+    asked = b.join(docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("item_id"), "text"), "item_id", "left")
+    return E.evidence_of(asked.select(F.col("item_id").alias("id"), T.evidence_id(F.coalesce("text", "own")).alias("evidence_id")), store).select("id", "evidence_id", "found", "doc_id")
+
+
+@query("parse_facts", """WITH r AS (SELECT doc_id AS id, doc_id % 3 AS m, lang FROM documents) SELECT id, CAST(i AS INTEGER) AS fact_no, CASE i WHEN 1 THEN 'uses ' || lang ELSE 'second' END AS fact, CASE i WHEN 1 THEN [CAST(id % 5 AS INTEGER), 7] ELSE CAST([] AS INTEGER[]) END AS evidence FROM r, range(1, 3) x(i) WHERE m < 2""")
+def parse_facts(spark, d):
+    """Facts from recorded replies: a list by itself, in a fence after some prose, or none."""
+    m = F.col("doc_id") % 3
+    body = F.concat(F.lit('[{"response": " uses '), "lang", F.lit('", "evidence_ids": ['), (F.col("doc_id") % 5).cast("string"), F.lit(', 7, "x"]}, {"response": "second"}, {"response": " "}]'))
+    reply = F.when(m == 0, body).when(m == 1, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```"))).otherwise("[no list")
+    return E.parse_facts(table(spark, d, "documents").select(F.col("doc_id").alias("id"), reply.alias("reply")))
 
 
 @query("token_counters", "SELECT role, count(*) AS messages, sum(length(text) // 3)::BIGINT AS tokens FROM conversations GROUP BY role")
@@ -128,74 +158,31 @@ def token_counters(spark, d):
     return table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("messages"), F.sum(T.token_estimate(F.col("text"))).alias("tokens"))
 
 
-@query("mapping_roundtrip", f"WITH scripts AS ({DUCK}) SELECT CAST(doc_id AS VARCHAR) AS file_id, path || ',v1' AS path FROM scripts")
-def mapping_roundtrip(spark, d):
-    """Written as lines `id,path` and read again; only the first comma parts them."""
-    at = scratch(spark, "mapping")
-    scripts(spark, d).select(F.concat_ws(",", F.col("doc_id").cast("string"), "path", F.lit("v1"))).write.text(at)
-    return sources.read_mapping(spark, at)
-
-
-@query("inverse_mapping", "SELECT source AS path, CAST(max(doc_id) AS VARCHAR) AS file_id FROM documents GROUP BY source")
-def inverse_mapping(spark, d):
-    return sources.inverse_mapping(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_id"), F.col("source").alias("path")))
-
-
-@query("qa_explode", "SELECT 'q' || CAST(item_id AS VARCHAR) AS question, CAST(item_id AS VARCHAR) || chr(10) || left(text, 20) AS answers, item_id % 2 = 0 AS deterministic FROM benchmark")
-def qa_explode(spark, d):
-    """A question set as JSON, with answers of text and numbers, read as rows."""
-    at = scratch(spark, "questions")
-    b = table(spark, d, "benchmark")
-    one = F.struct(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("question"), (F.col("item_id") % 2 == 0).alias("deterministic"), F.array(F.col("item_id").cast("string"), F.substring("text", 1, 20)).alias("answers"))
-    b.select(F.array(one).alias("answered")).write.json(at)
-    return spark.read.schema("answered array<struct<question: string, deterministic: boolean, answers: array<string>>>").json(at).select(F.explode("answered").alias("q")).select("q.question", F.array_join("q.answers", "\n").alias("answers"), "q.deterministic")
-
-
-@query("script_scan", f"WITH scripts AS ({DUCK}) SELECT CAST(doc_id AS BIGINT) AS doc_id, text FROM scripts")
-def script_scan(spark, d):
-    """Scripts written as files, a folder each, and read again whole."""
-    at = scratch(spark, "scripts")
-    sources.write_scripts(scripts(spark, d), at)
-    found = sources.read_scripts(spark, at, glob="*.txt", recursive=True)
-    return found.select(F.regexp_extract("file", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"), F.regexp_replace("text", "\0$", "").alias("text"))
-
-
-@query("index_roundtrip", "SELECT CASE WHEN vec_id % 2 = 0 THEN 'full' ELSE 'summary' END AS kind, label, count(*) AS n FROM embeddings GROUP BY ALL")
-def index_roundtrip(spark, d):
-    """Two kinds of index saved one after the other; each is read by itself."""
-    at, e = scratch(spark, "index"), table(spark, d, "embeddings")
-    sources.save_index(e.where("vec_id % 2 = 0"), at, "full")
-    sources.save_index(e.where("vec_id % 2 = 1"), at, "summary")
-    each = [sources.load_index(spark, at, kind).groupBy(F.lit(kind).alias("kind"), "label").agg(F.count("*").alias("n")) for kind in ("full", "summary")]
-    return each[0].unionByName(each[1])
-
-
-@query("upsert_latest", "SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
-def upsert_latest(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
-
-
-@query("resume_pending", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-def resume_pending(spark, d):
-    return sources.pending(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
-
-
-@query("summary_progress", "SELECT (SELECT count(*) FROM labels) AS done, count(*) AS total FROM documents")
-def summary_progress(spark, d):
-    return table(spark, d, "documents").agg(F.count("*").alias("total")).join(table(spark, d, "labels").agg(F.count("*").alias("done")))
-
-
 @query("soft_cluster")
 def soft_cluster(spark, d):
     return soft_clusters(table(spark, d, "embeddings"), most=4)
 
 
-@query("cluster_rollup", "SELECT e.label, count(*) AS members, list(DISTINCT d.source ORDER BY d.source) AS sources, string_agg(left(d.text, 200), chr(10) ORDER BY d.doc_id) AS summary FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id GROUP BY e.label")
+@query("cluster_rollup", "WITH m AS (SELECT e.label, d.*, count(*) OVER (PARTITION BY e.label) AS n FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id) SELECT label, CAST(doc_id % CAST(ceil(n / 64) AS BIGINT) AS BIGINT) AS part, count(*) AS members, list(DISTINCT source ORDER BY source) AS sources, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM m GROUP BY 1, 2")
 def cluster_rollup(spark, d):
+    """Clusters' whole texts in bounded parts."""
     x = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label").join(table(spark, d, "documents"), "doc_id")
     return roll_up(x, "label", "text", "doc_id", "source")
 
 
+@query(
+    "summary_levels",
+    "WITH l0 AS (SELECT 0 AS level, doc_id AS node_id, [source] AS sources FROM documents), g1 AS (SELECT 1 AS level, 1000000000000 + node_id % 9 AS node_id, list_distinct(flatten(list(sources))) AS sources FROM l0 GROUP BY node_id % 9), "
+    "g2 AS (SELECT 2 AS level, 2000000000000 + node_id % 3 AS node_id, list_distinct(flatten(list(sources))) AS sources FROM g1 GROUP BY node_id % 3) SELECT level, node_id, len(sources) AS sources FROM (SELECT * FROM l0 UNION ALL SELECT * FROM g1 UNION ALL SELECT * FROM g2)",
+)
+def summary_levels(spark, d):
+    """A tree of summaries over stated clusters (9, then 3; the third level would be one and ends it), with a cut text as the summary."""
+    leaves = table(spark, d, "documents").select(F.col("doc_id").alias("node_id"), "text", F.array(F.length("text").cast("double")).alias("embedding"), F.array("source").alias("sources"))
+    clusters = {1: 9, 2: 3}
+    tree = levels(leaves, lambda rows, n: rows.select("node_id", (F.col("node_id") % clusters.get(n, 1)).alias("cluster")), lambda t: F.substring(t, 1, 40), lambda t: F.array(F.length(t).cast("double")))
+    return tree.select("level", "node_id", F.size("sources").cast("long").alias("sources"))
+
+
 @query("results_by_domain", "SELECT lang, count(*) AS files, count(DISTINCT source) AS folders FROM documents GROUP BY lang")
 def results_by_domain(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("files"), F.countDistinct("source").alias("folders"))
