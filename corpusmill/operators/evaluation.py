@@ -72,7 +72,7 @@ _PATHS = (
 def cited_paths(text: Column) -> Column:
     """Paths cited in a text by any of four patterns, cleaned, each once (whatever its case and first slash) in the order of the patterns."""
     found = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in _PATHS)))
-    clean = F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(F.lower(x), r"\s+", " "), r"^[\s'\"`(\[]+|[\s'\"`)\],.;:}]+$", ""))
+    clean = F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(x), r"\s+", " "), r"^[^/]*:[^/]*/", "/"), r"^[\s'\"`(\[]+|[\s'\"`)\],.;:}]+$", ""))
     shaped = F.filter(clean, lambda x: x.rlike(rf"/.*/|/\d|^\d.*/|\.(?:{_EXTENSIONS})$"))
     bare = lambda x: F.ltrim(x, F.lit("/"))
     return F.filter(shaped, lambda x, i: ~F.exists(F.slice(shaped, F.lit(1), i), lambda y: bare(y) == bare(x)))
