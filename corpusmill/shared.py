@@ -90,21 +90,20 @@ def small(df: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(size + 16).alias("b")).first()["b"] or 0) <= most_bytes else df
 
 
-def hot_join(rows: DataFrame, unique: DataFrame, on: list[str], count: str, how: str = "inner", least: int = 5_000, most_keys: int = 20_000) -> DataFrame:
+def hot_join(rows: DataFrame, unique: DataFrame, on: list[str], count: str, how: str = "inner", least: int = 1_000) -> DataFrame:
     """rows joined to `unique`, which has one row for each key and in column `count` how many of `rows` have it.
 
-    A key may hold a third of all rows: keys with many rows (more than a most_keys-th of all, `least` at least, so most_keys
-    keys at most) are broadcast with their row and joined where the rows are; the others are shuffled. The count goes.
+    A key may hold a third of all rows: keys with more rows than a task has on average (`least` at least) are broadcast with
+    their row and joined where the rows are - there are no more of them than tasks -; the others are shuffled. `count` goes.
     """
-    total = unique.agg(F.sum(count).alias("n")).first()["n"] or 0
-    bound = max(least, total // most_keys)
-    hot, cold = unique.where(F.col(count) > bound).drop(count), unique.where(F.col(count) <= bound).drop(count)
-    if hot.isEmpty():
+    total, most = unique.agg(F.sum(count), F.max(count)).first()
+    bound = max(least, (total or 0) // int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if (most or 0) <= bound:
         return rows.join(unique.drop(count), on, how)
-    keys = hot.select(*on)
-    if how == "left_semi":
-        return rows.join(F.broadcast(keys), on, "left_semi").unionByName(rows.join(F.broadcast(keys), on, "left_anti").join(cold, on, "left_semi"))
-    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(keys), on, "left_anti").join(cold, on, how), allowMissingColumns=True)
+    hot, cold = unique.where(F.col(count) > bound).drop(count), unique.where(F.col(count) <= bound).drop(count)
+    keys = F.broadcast(hot.select(*on))
+    rest = rows.join(keys, on, "left_anti").join(cold, on, how)
+    return rows.join(keys, on, "left_semi").unionByName(rest) if how == "left_semi" else rows.join(F.broadcast(hot), on).unionByName(rest)
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
