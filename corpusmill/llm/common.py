@@ -2,55 +2,38 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..shared import cut, hot_join, shared_dir, small  # noqa: F401 - one place for the operators
 
 #: ASCII white space that separates words, as a character class for Java's and RE2's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) a local one."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = f"file://{tempfile.gettempdir()}/corpusmill-{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def _drop_written() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001 - the session may be gone already; the files are scratch
-            return
-
-
-def cut(df: DataFrame, name: str, sort_by: list[str] | None = None) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, so lost executors only cost a re-read.
+def copies_apart(df: DataFrame, key: str, name: str, most: int = 10_000) -> DataFrame:
+    """df with a column `name`: 0, but different numbers from 0 on for the rows of a key that more than `most` rows share.
 
-    The files stay until the application ends (later reads need them) and are then deleted.
+    Such rows are alike, and any of them may have any of the numbers; the numbers let them be dealt out. They are counted
+    by the tasks that hold them, so no task sees a key's rows together, and are written once, so that a lost task can't
+    number them differently.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_drop_written)
-    _written.append((spark, path))
-    (df.sortWithinPartitions(*sort_by) if sort_by else df).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    hot = cut(df.groupBy(key).agg(F.count("*").alias("_c")).where(F.col("_c") > most).select(key), "hot")  # a most-th of the rows at most
+    if hot.isEmpty():
+        return df.withColumn(name, F.lit(0).cast("long"))
+    placed = cut(df.join(F.broadcast(hot), key, "left_semi").withColumn("_task", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "copies")
+    counts = placed.groupBy(key, "_task").agg(F.count("*").alias("_c"))
+    ahead = counts.select(key, "_task", (F.sum("_c").over(Window.partitionBy(key).orderBy("_task")) - F.col("_c")).alias("_ahead"))
+    own = F.row_number().over(Window.partitionBy(key, "_task").orderBy("_at")) - 1
+    apart = placed.withColumn("_own", own).join(F.broadcast(ahead), [key, "_task"]).withColumn(name, (F.col("_ahead") + F.col("_own")).cast("long"))
+    rest = df.join(F.broadcast(hot), key, "left_anti").withColumn(name, F.lit(0).cast("long"))
+    return rest.unionByName(apart.select(*rest.columns))
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -2,13 +2,19 @@
 
 The terms are runs of five words, weighted by their count; every distinct term votes on each of 128 bits.
 
-The order of documents (descending doc_id, round about) is cut into ranges by quantiles of doc_id. Each range gets the next
-range's first document as well, so every task reads its range in order and has each document's successor at hand: the texts
-are shuffled once and no task sees more than a stream of its own range.
+The order of documents (descending doc_id, round about; equal ids by a hash of the text) is cut into ranges, whose bounds are
+taken from a sorted sample of the keys. Each range gets the next range's first document as well, so every task reads its range
+in order and has each document's successor at hand: the texts are shuffled once and no task sees more than a stream of its
+own range. Rows alike in id and text that would fill a range are one row there: all but the last of them follow each other.
+
+Near fingerprints: the bits are cut into four blocks; of two fingerprints at most three bits apart one block agrees, so four
+tables, each with another block in front, bring them together. Equal fingerprints are one class before. Fingerprints that
+share a block are compared tile by tile in the task, and what leaves a task is a count and a class for each of them, not the
+pairs; a pair that meets in several tables counts in the first. Classes are joined to components.
 
 Defined cases. Null text: empty. Text without words: all bits 0. Fewer than five words: the whole sequence is the one term.
-Null doc_id: after all others, ordered by a hash of the text, as are repeated doc_ids. A single document is its own
-successor. Empty table: no rows.
+Null doc_id: after all others, ordered by a hash of the text. Very long texts: whole, one at a time. A single document is its
+own successor. Empty table: no rows. The result has the operator's columns only, so no name of the input can clash.
 """
 
 from __future__ import annotations
@@ -23,7 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks_of, table
+from ..shared import numbered
+from .common import blocks_of, cut, hot_join, small, table
+from .graph import components
 from .kernels import shingles, simhash
 
 WORDS = 5
@@ -46,40 +54,57 @@ def likeness(a: bytes, b: bytes) -> float:
     return 1 - (int.from_bytes(a) ^ int.from_bytes(b)).bit_count() / BITS
 
 
-def _ranges(docs: DataFrame, rows: int) -> list[int]:
-    """Lower bounds of the ranges but the first: quantiles of doc_id."""
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / 2000))
-    n = min(n, 1 << 14)
-    found = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0] or []
-    return sorted(set(found))
+#: The last place in the order: what has no id.
+_NONE = -(1 << 63)
+
+
+def _bounds(keys: DataFrame, rows: int, range_rows: int, most: int = 1 << 20, over: int = 8) -> np.ndarray:
+    """Bounds (i, h) between the ranges, ascending: every `over`-th row of a sorted sample of the keys, `most` bounds at most (16 bytes each)."""
+    n = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / range_rows))
+    n = min(n, most)
+    every = max(1, rows // (n * over))
+    sample = keys.where(F.pmod(F.xxhash64("i", "h"), F.lit(every)) == 0).distinct()
+    step = over if every > 1 else max(1, math.ceil(rows / n))
+    found = numbered(sample, ["i", "h"]).where(F.col("n") % step == 0).select("i", "h").collect()  # n of them
+    return np.array(sorted((r["i"], r["h"]) for r in found), dtype=np.int64).reshape(-1, 2)
 
 
-def _range_of(bounds: list[int]):
-    """How many bounds are at most doc_id, by a coarse and a fine look."""
-    if not bounds:
-        return F.lit(0)
-    step = math.isqrt(len(bounds)) + 1
-    cells = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    longs = lambda xs: f"array({', '.join(f'{x}L' if x >= 0 else f'cast({x} as bigint)' for x in xs)})"
-    coarse = f"size(filter({longs([c[0] for c in cells])}, b -> b <= doc_id))"
-    fine = f"size(filter(element_at(array({', '.join(map(longs, cells))}), {coarse}), b -> b <= doc_id))"
-    return F.expr(f"case when {coarse} = 0 then 0 else ({coarse} - 1) * {step} + {fine} end")
+def _range_of(bounds: np.ndarray):
+    """An expression of i and h: how many bounds are at most (i, h). Only the two numbers go to Python, in Arrow batches."""
 
+    @F.pandas_udf("int")
+    def place(i, h):
+        x, y = i.to_numpy(), h.to_numpy()
+        at = np.searchsorted(bounds[:, 0], x, side="right")
+        first = np.searchsorted(bounds[:, 0], x, side="left")
+        for k in np.flatnonzero(first < at):  # an id that is a bound itself, maybe several times: the hash decides
+            at[k] = first[k] + np.searchsorted(bounds[first[k] : at[k], 1], y[k], side="right")
+        return type(i)(at.astype(np.int32))
 
-def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return place(F.col("i"), F.col("h"))
+
+
+def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_rows: int = 2000, hot_rows: int = 10_000) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_id."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = docs.count()
-    spread = max(1, math.ceil(rows / 2000))
-    h = F.xxhash64("text")
-    nulls = -1 - F.pmod(F.shiftright(h, 40), F.lit(spread)).cast("int")
-    placed = docs.withColumn("h", h).withColumn("part", F.when(F.col("doc_id").isNull(), nulls).otherwise(_range_of(_ranges(docs, rows))).cast("int"))
-    heads = placed.groupBy("part").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(0)).alias("i"), "h")).alias("top")).collect()  # a row for each range
-    heads.sort(key=lambda r: -r["part"])
+    placed = docs.withColumn("h", F.xxhash64("text")).withColumn("i", F.coalesce("doc_id", F.lit(_NONE)))
+    keys = cut(placed.groupBy("i", "h").agg(F.count("*").alias("n")), "keys")
+    rows, most = keys.agg(F.sum("n"), F.max("n")).first()
+    rows = rows or 0
+    again = None
+    if (most or 0) > hot_rows:
+        hot = cut(keys.where(F.col("n") > hot_rows), "hot")  # rows / hot_rows of them at most
+        alike = cut(placed.join(F.broadcast(hot), ["i", "h"]).groupBy("i", "h", "n").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")), "alike")
+        again = alike.select("doc_id", "text", F.explode(F.sequence(F.lit(2), F.col("n"))).alias("copy")).drop("copy")
+        placed = placed.join(F.broadcast(hot.select("i", "h")), ["i", "h"], "left_anti").unionByName(alike.select("doc_id", "text", "h", "i"))
+    bounds = _bounds(keys.select("i", "h"), rows, range_rows)
+    part = _range_of(bounds)
+    heads = keys.withColumn("part", part).groupBy("part").agg(F.max(F.struct("i", "h")).alias("top")).orderBy(F.desc("part")).collect()  # a row for each range
     ends = [(b["part"], b["top"]["h"], b["top"]["i"], a["part"]) for a, b in zip(heads, heads[1:] + heads[:1], strict=True)]
     ends = spark.createDataFrame(ends, "part int, h long, i long, goal int")
-    marked = placed.withColumn("i", F.coalesce("doc_id", F.lit(0))).join(F.broadcast(ends), ["part", "h", "i"], "left")
+    marked = placed.withColumn("part", part).join(F.broadcast(ends), ["part", "h", "i"], "left")
+    # of rows alike in id and text each is a head; any of them serves, so the first that comes is taken
     copies = F.array_compact(F.array(F.struct("part", F.lit(0).alias("extra")), F.when(F.col("goal").isNotNull(), F.struct(F.col("goal").alias("part"), F.lit(1).alias("extra")))))
     dealt = marked.select("doc_id", "text", "h", "i", F.explode(copies).alias("c")).select("c.part", "c.extra", "doc_id", "i", "h", "text")
     dealt = dealt.repartition("part").sortWithinPartitions(F.desc("part"), "extra", F.desc("i"), F.desc("h"))
@@ -110,13 +135,114 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
             )
 
     kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, next_id long"
-    return dealt.mapInArrow(make, kinds)
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows whose successor is alike."""
+        for batch in batches:
+            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+            prints, new = fingerprints_of(texts), [edited(t, t) for t in texts]
+            marks = fingerprints_of(new)
+            columns = [ids, pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in new], pa.string()), pa.array([p.hex() for p in prints], pa.string())]
+            columns += [pa.array([m.hex() for m in marks], pa.string()), pa.array([likeness(p, m) for p, m in zip(prints, marks, strict=True)], pa.float64()), pa.array([1.0] * len(texts), pa.float64()), ids]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in kinds.split(", ")])
+
+    out = dealt.mapInArrow(make, kinds)
+    return out if again is None else out.unionByName(again.mapInArrow(follow, kinds))
+
+
+#: Fingerprints that are compared at once.
+TILE = 2048
+
+
+def _words(prints: pa.Array) -> np.ndarray:
+    """Fingerprints (hex) as rows of two 64-bit words."""
+    raw = bytes.fromhex("".join(prints.to_pylist()))
+    return np.frombuffer(raw, dtype=">u8").astype(np.uint64).reshape(-1, BITS // 64)
+
+
+def _labels(near: np.ndarray) -> np.ndarray:
+    """The component of each row of a symmetric matrix of links, by the smallest row in it."""
+    label = np.arange(len(near))
+    while True:
+        least = np.where(near, label[None, :], len(near)).min(axis=1, initial=len(near))
+        new = np.minimum(label, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def near_prints(prints: DataFrame, radius: int = 3, print_col: str = "fingerprint") -> DataFrame:
+    """(fingerprint, n_near, node, root) of the different fingerprints (hex): how many others are at most `radius` bits away, and their component.
+
+    node is a hash of the fingerprint, root the smallest node that can be reached over near ones (its own, if it has none).
+    """
+    blocks, digits = radius + 1, BITS // 4
+    at = [round(i * digits / blocks) for i in range(blocks + 1)]
+    each = cut(prints.select(F.col(print_col).alias("p")).where("p is not null").distinct().withColumn("node", F.xxhash64("p")), "prints")
+    tables = F.array(*(F.struct(F.lit(n).alias("t"), F.substring("p", at[n] + 1, at[n + 1] - at[n]).alias("key")) for n in range(blocks)))
+    keyed = each.select("p", "node", F.explode(tables).alias("x")).select("p", "node", F.xxhash64("x.t", "x.key").alias("key"), "x.t")
+    sizes = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n")), "block-sizes")
+    shared = hot_join(keyed, sizes, ["key"], "n")
+    # small groups are put together to tasks of about a tile; large ones are cut into tiles that are compared two by two
+    cuts = F.ceil(F.col("size") / TILE).cast("int")
+    own = F.pmod(F.xxhash64("node"), cuts).cast("int")
+    n_units = max(1, math.ceil((sizes.agg(F.sum("n")).first()[0] or 0) / TILE))
+    pairs = F.transform(F.sequence(F.lit(0), cuts - 1), lambda i: F.struct(F.least(own, i).alias("a"), F.greatest(own, i).alias("b")))
+    dealt = shared.withColumn("own", own).withColumn("pair", F.explode(pairs))
+    unit = F.when(F.col("size") > TILE, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(n_units)))
+    dealt = dealt.select(unit.alias("unit"), (F.col("size") > TILE).alias("large"), "pair.a", "pair.b", "own", "key", "t", "p", "node")
+    starts, ends = [4 * x for x in at[:-1]], [4 * x for x in at[1:]]
+
+    def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        a, b = key[2].as_py(), key[3].as_py()
+        rows = rows.sort_by([("key", "ascending"), ("node", "ascending")])
+        group, node, t, own = (rows.column(c).to_numpy() for c in ("key", "node", "t", "own"))
+        words = _words(rows.column("p").combine_chunks() if rows.num_rows else pa.array([], pa.string()))
+        bits = np.unpackbits(words.astype(">u8").view(np.uint8).reshape(len(words), -1), axis=1) if len(words) else np.zeros((0, BITS), np.uint8)
+        edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]) if len(group) else np.zeros(1, int)
+        out: list[list[np.ndarray]] = [[], [], []]
+        for first, last in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            w, own_, names, table_ = words[first:last], own[first:last], node[first:last], int(t[first])
+            near = sum(np.bitwise_count(w[:, None, j] ^ w[None, :, j]).astype(np.int16) for j in range(w.shape[1])) <= radius
+            np.fill_diagonal(near, False)
+            if a != b:  # rows of one tile meet in their own unit
+                near &= own_[:, None] != own_[None, :]
+            if not near.any():
+                continue
+            # a pair whose earlier blocks agree too has been counted there
+            earlier = np.zeros_like(near)
+            for n in range(table_):
+                part = np.packbits(bits[first:last, starts[n] : ends[n]], axis=1)
+                _, same = np.unique(part, axis=0, return_inverse=True)
+                earlier |= same.reshape(-1)[:, None] == same.reshape(-1)[None, :]
+            out[0].append(names)
+            out[1].append(names[_labels(near)])
+            out[2].append((near & ~earlier).sum(axis=1))
+        columns = [np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64) for c in out]
+        return pa.table({"u": columns[0], "v": columns[1], "n": columns[2]})
+
+    met = cut(dealt.groupBy("unit", "large", "a", "b").applyInArrow(compare, "u long, v long, n long"), "near")
+    counts = met.groupBy("u").agg(F.sum("n").alias("n_near"))
+    roots = components(met.select("u", "v"))
+    out = each.join(counts, F.col("node") == F.col("u"), "left").join(roots.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left")
+    return out.select(F.col("p").alias("fingerprint"), F.coalesce("n_near", F.lit(0)).alias("n_near"), "node", F.coalesce("root", "node").alias("root"))
+
+
+def with_near(prints: DataFrame, radius: int = 3) -> DataFrame:
+    """fingerprint_documents' rows with n_near and class_id: the smallest doc_id whose fingerprint can be reached over near ones."""
+    prints = cut(prints, "fingerprints")
+    near = cut(near_prints(prints.select("fingerprint"), radius), "near-prints")
+    ids = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
+    of_print = cut(near.join(ids, "fingerprint"), "classes")
+    classes = of_print.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
+    named = hot_join(of_print, classes, ["root"], "n").select("fingerprint", "n_near", "class_id", "copies")
+    return hot_join(prints, named, ["fingerprint"], "copies")
 
 
 def within_radius(prints: DataFrame, radius: int = 3, blocks: int | None = None, print_col: str = "fingerprint") -> DataFrame:
-    """All pairs (a, b), a < b, of different fingerprints (hex) at most `radius` bits apart, with their distance.
+    """All pairs (a, b), a < b, of different fingerprints (hex) at most `radius` bits apart, with their distance: for small sets.
 
-    Equal fingerprints are one class beforehand, so copies don't multiply. The bits are cut into `blocks` blocks; of two
+    A group of many near fingerprints is listed with all its pairs here; near_prints gives counts and classes instead. Equal fingerprints are one class beforehand, so copies don't multiply. The bits are cut into `blocks` blocks; of two
     fingerprints within the radius at least blocks - radius agree, so each choice of that many blocks, moved to the front,
     is a table whose key the two share.
     """
@@ -136,4 +262,4 @@ def within_radius(prints: DataFrame, radius: int = 3, blocks: int | None = None,
 
 
 def op9_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_documents(table(spark, sf_dir, "documents")).drop("next_id")
+    return with_near(fingerprint_documents(table(spark, sf_dir, "documents"))).drop("next_id")

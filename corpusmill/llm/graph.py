@@ -1,11 +1,11 @@
-"""Connected components by alternating stars, all in joins and minima: no node's neighbours meet in one place."""
+"""Connected components by alternating stars, all in joins and minima. A node with very many neighbours has them joined where they are (hot_join)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hot_join
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -25,10 +25,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v")))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = hot_join(both, least, ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = cut(large, "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = hot_join(large, least, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v")))
         edges = cut(small.select(*down).distinct(), "edges")
         after = _state(edges)
         if after == before:

@@ -8,14 +8,16 @@ Equal sets become one class first, so copies never meet in a bucket. In each buc
 bucket's centre, the member that meets others most often (linear in its size); links join components. Only members of
 buckets that still hold several components are looked at again: buckets led by the same component are one crowd, and the
 sets outside of its leading component are compared with all others of the crowd, exactly, in the task (tile by tile, if the
-crowd is large); what comes out is one link for each set and component. So a large group of copies comes together around
-its centre and isn't expanded into its pairs, and no candidate pair that could join two components is left out.
+crowd is large or its sets are); what comes out is one link for each set and component. So a large group of copies comes
+together around its centre and isn't expanded into its pairs, and no candidate pair that could join two components is left
+out. A band, crowd, set or component that holds many rows is joined where its rows are (hot_join).
 
 Defined cases. Null or blank text: empty set, linked with nothing, a component of its own. Fewer than k words: the whole
 sequence is the one shingle. Repeated rows: one component. Null doc_id: takes part, but gives its component no id; a
 component without any id has the id null. keep_one decides by row: of each component the first row with the smallest id
-stays (without any id, one row), and repeats of that id and text with it. Empty table: no rows. At the threshold 0.8 a pair is
-missed by all bands with probability (1 - 0.8**6)**42 = 3e-6.
+stays (without any id, one row), and repeats of that id and text with it. Very long texts: whole sets, tiles by their size.
+Empty table: no rows. near_duplicates returns its own columns only, keep_one all of the input, whatever their names. At the
+threshold 0.8 a pair is missed by all bands with probability (1 - 0.8**6)**42 = 3e-6.
 """
 
 from __future__ import annotations
@@ -27,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks_of, cut, free_name, table
+from .common import blocks_of, cut, free_name, hot_join, table
 from .graph import components
 from .kernels import band_keys, circulant, set_hash, shingles
 
-TILE = 4096
+#: Sets of a crowd that are compared at once, and bytes of them.
+TILE, TILE_BYTES = 4096, 64 << 20
 
 
 def _row_key(id_col: str, text_col: str):
@@ -111,12 +114,13 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> Ite
 def across(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between different components of a crowd: for each set outside of the crowd's leading component one link to each component that it has any with.
 
-    crowded: (lead, set_key, comp). A crowd of over TILE sets is cut into tiles that are compared two by two.
+    crowded: (lead, set_key, comp, n: the set's size). A crowd of over TILE sets, or TILE_BYTES, is cut into tiles that are
+    compared two by two.
     """
-    counts = crowded.groupBy("lead").agg(F.ceil(F.count("*") / TILE).cast("int").alias("cuts"))
+    counts = crowded.groupBy("lead").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") * 8 / TILE_BYTES)).cast("int").alias("cuts"), F.count("*").alias("rows"))
     own = F.pmod(F.xxhash64("set_key"), F.col("cuts")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda i: F.struct(F.least(own, i).alias("a"), F.greatest(own, i).alias("b")))
-    dealt = crowded.join(counts, "lead").join(sets, "set_key").select("lead", "comp", "set_key", "shingles", own.alias("own"), F.explode(tiles).alias("t"))
+    dealt = hot_join(crowded.drop("n"), counts, ["lead"], "rows").join(sets, "set_key").select("lead", "comp", "set_key", "shingles", own.alias("own"), F.explode(tiles).alias("t"))
     dealt = dealt.select("lead", "comp", "set_key", "shingles", "own", "t.a", "t.b")
 
     def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
@@ -153,17 +157,17 @@ def grouped(
     sketch = cut(sketches(docs, k, n_hashes, rows, seed, id_col, text_col), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))  # rows with an id before others
     classes = cut(
-        sketch.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("row_key").alias("row_key"), first.alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
+        sketch.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("row_key").alias("row_key"), first.alias("first"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
         "classes",
     )
     members = classes.select("set_key", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    shared = cut(members.join(buckets, "band"), "buckets")
+    buckets = cut(members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").withColumn("n", F.col("size")), "sizes")
+    shared = cut(hot_join(members, buckets, ["band"], "n"), "buckets")
     # the text that copies were made from meets each of them in more buckets than they meet each other: the best centre
     degrees = shared.groupBy("set_key").agg(F.sum("size").alias("degree"))
     shared = cut(shared.join(degrees, "set_key"), "shared")
     hub = F.max_by("set_key", F.struct("degree", "set_key"))
-    centres = shared.groupBy("band").agg(hub.alias("centre"))
+    centres = cut(shared.groupBy("band").agg(hub.alias("centre"), F.count("*").alias("n")), "centres")
     sizes = classes.select("set_key", "n")
 
     def likely(pairs: DataFrame) -> DataFrame:
@@ -185,27 +189,30 @@ def grouped(
         texts = texts_of(pairs.select(F.explode(F.array("u", "v")).alias("set_key")).distinct())
         return cut(verified(pairs, cut(texts, "texts"), k, percent), "links")
 
-    found = links(shared.join(centres, "band").where("set_key != centre").select(F.col("centre").alias("u"), F.col("set_key").alias("v")))
+    found = links(hot_join(shared, centres, ["band"], "n").where("set_key != centre").select(F.col("centre").alias("u"), F.col("set_key").alias("v")))
     roots = components(found)
-    placed = shared.where("size > 2").join(roots, shared.set_key == roots.node, "left").select("band", "set_key", "size", F.coalesce("root", "set_key").alias("comp"))
+    placed = cut(shared.where("size > 2").join(roots, shared.set_key == roots.node, "left").select("band", "set_key", F.coalesce("root", "set_key").alias("comp")), "placed")
     parts = placed.groupBy("band", "comp").agg(F.count("*").alias("c"))
-    mixed = parts.groupBy("band").agg(F.max_by("comp", F.struct("c", "comp")).alias("lead"), F.count("*").alias("comps")).where("comps > 1").select("band", "lead")
+    mixed = cut(parts.groupBy("band").agg(F.max_by("comp", F.struct("c", "comp")).alias("lead"), F.count("*").alias("comps"), F.sum("c").alias("n")).where("comps > 1").select("band", "lead", "n"), "mixed")
     # buckets led by the same component are one crowd, in which each set stands once
-    crowded = cut(placed.join(mixed, "band").select("lead", "set_key", "comp").distinct(), "crowded")
+    crowded = hot_join(placed, mixed, ["band"], "n").select("lead", "set_key", "comp").distinct()
+    crowded = cut(crowded.join(sizes, "set_key"), "crowded")
     new = cut(across(crowded, set_table(texts_of(crowded.select("set_key").distinct()), k), percent), "links")
     if not new.isEmpty():
         roots = components(found.unionByName(new))
-    return sketch, classes.join(roots, classes.set_key == roots.node, "left").select("set_key", "rep", "first", F.coalesce("root", "set_key").alias("comp"))
+    return sketch, classes.join(roots, classes.set_key == roots.node, "left").select("set_key", "rep", "first", "copies", F.coalesce("root", "set_key").alias("comp"))
 
 
 def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept, set_key."""
     sketch, named = grouped(docs, **how)
-    ids = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of_set = named.join(ids, "comp").select("set_key", "component_id")
-    out = sketch.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")
-    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.withColumn("component_id", component).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "n_shingles", "component_id", "kept", "set_key")
+    named = cut(named, "named")
+    ids = named.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
+    of_set = hot_join(named, ids, ["comp"], "n").select("set_key", "component_id", "copies")
+    rows = sketch.select("doc_id", "n_shingles", "set_key")
+    out = hot_join(rows.where("set_key is not null"), of_set, ["set_key"], "copies")
+    out = out.unionByName(rows.where("set_key is null").withColumn("component_id", F.col("doc_id")))
+    return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "n_shingles", "component_id", "kept", "set_key")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -214,7 +221,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     sketch, named = grouped(docs, id_col=id_col, text_col=text_col, **how)
     first = named.groupBy("comp").agg(F.min("first").alias("first")).select("first.row_key")
     filled = sketch.where("set_key is not null").select("doc_id", "row_key")
-    gone = filled.join(first, "row_key", "left_anti").select(F.col("row_key").alias(name)).distinct()
+    gone = cut(filled.join(first, "row_key", "left_anti").select(F.col("row_key").alias(name)).distinct(), "gone")
     keyed = docs.withColumn(name, _row_key(id_col, text_col))
     kept = keyed.join(gone, name, "left_anti")
     # rows without an id that repeat each other are one row
@@ -227,3 +234,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: The same by plain means: every document's shingles, every pair that shares one, reachability.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM w),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s), each AS (SELECT doc_id, md5_number(unnest(s)) AS h FROM s),
+l AS (SELECT a.doc_id AS u, b.doc_id AS v FROM each a JOIN each b ON a.h = b.h AND a.doc_id < b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l), r AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.doc_id WHERE r.root < e.v),
+c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, n AS n_shingles, component_id, component_id = doc_id AS kept FROM n JOIN c USING (doc_id)
+"""

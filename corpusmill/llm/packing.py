@@ -9,8 +9,9 @@ of lengths (`max_tokens` rows at most, whatever the table's size) goes to the dr
 sequences at once; each piece then finds its place by its rank among the pieces of its length. Ranks are counted where
 the pieces are made, so no group of equal lengths meets in one task.
 
-Defined cases. Null text: empty. Empty text: the end token alone. Empty table: no rows. Repeated rows: packed as often as
-they stand. A piece longer than max_tokens doesn't exist: longer documents are cut.
+Defined cases. Null text: empty. Empty text: the end token alone. Empty table: no rows. Repeated rows and null or repeated
+ids: packed as often as they stand. A piece longer than max_tokens doesn't exist: longer documents are cut, whole, however
+long. The result has the operator's columns only, so no name of the input can clash.
 """
 
 from __future__ import annotations
@@ -179,11 +180,11 @@ def pack_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     with_ids: bool = False,
-    added: dict[str, int] | None = None,
+    added: dict[str, int] | None = ADDED,
 ) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for).
 
-    Without `added` a text's "<|endoftext|>" is text; with ADDED it is the token, as the tokenizers library has it by default.
+    A text's "<|endoftext|>" is that token, as the tokenizers library has it by default; with `added` None it is text.
     The attention capacity is max_tokens squared unless given, which a full sequence of one document needs.
     """
     spark = docs.sparkSession
@@ -211,4 +212,4 @@ def pack_documents(
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), added=ADDED)
+    return pack_documents(table(spark, sf_dir, "documents"))

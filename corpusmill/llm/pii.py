@@ -13,8 +13,9 @@ words are counted first; a term in more texts than any of the entity's pairs cou
 grow with mentions and their rare words, never with pairs of words; a common term or entity only meets partial sums.
 
 Defined cases. Null text: empty, no spans, and null after sanitising. Repeated rows: each the same. Null doc_id: as any
-other. Empty table: no rows. The patterns run in loops, not by recursion, and start at the beginnings of runs alone, so
-long texts of digits or letters take linear time.
+other. Empty table: no rows. Very long texts: the patterns run in loops, not by recursion, and start at the beginnings of
+runs alone; running sums and pieces of a text go by blocks, so many matches take time in proportion. Columns of the input
+named `email`, `ip`, `card`, `phone` or `term` are replaced, any other name is kept.
 """
 
 from __future__ import annotations
@@ -49,16 +50,28 @@ VALID = {
 TERM = r"[\p{L}\p{M}\p{N}]{3,}|(?<![\p{L}\p{M}\p{N}])[\p{Lu}\p{Lo}][\p{L}\p{M}](?![\p{L}\p{M}\p{N}])"
 
 
+def let(value: str, name: str, body: str) -> str:
+    """SQL of body, where `name` stands for value, which is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def running(a: str, op: str, at: str = "") -> str:
+    """SQL of the running totals of an int array (a name) by an operation {0}, {1} from 0 on; in blocks of 64, so that long arrays take little more than linear time."""
+    fold = lambda x: f"aggregate({x}, 0, (s, y) -> {op.format('s', 'y')})"
+    sums = f"transform(sequence(0, cast(greatest(0, size({a}) - 1) div 64 as int)), b -> {fold(f'slice({a}, b * 64 + 1, 64)')})"
+    heads = f"transform(sums{at}, (h, b) -> {fold(f'slice(sums{at}, 1, b)')})"
+    inner = fold(f"slice({a}, cast(i div 64 as int) * 64 + 1, i % 64 + 1)")
+    each = op.format(f"heads{at}[cast(i div 64 as int)]", inner)
+    return let(sums, f"sums{at}", let(heads, f"heads{at}", f"transform({a}, (v, i) -> {each})"))
+
+
 def matches(text: str, pattern: str, needs: str = "true") -> Column:
     """All matches as structs of value, start and end (code points, end exclusive). pattern: a SQL expression."""
     found = f"case when {needs} then regexp_extract_all({text}, {pattern}, 0) else array() end"
     gaps = f"case when {needs} then transform(split({text}, {pattern}, -1), g -> length(g)) else array() end"
-    at = (
-        "transform(found.m, (v, i) -> named_struct('value', v, 'start', "
-        "aggregate(slice(found.g, 1, i + 1), 0, (s, n) -> s + n) + aggregate(slice(found.m, 1, i), 0, (s, w) -> s + length(w)), 'size', length(v)))"
-    )
-    both = f"transform(array(named_struct('m', {found}, 'g', {gaps})), found -> {at})[0]"
-    return F.expr(f"transform({both}, x -> named_struct('value', x.value, 'start', x.start, 'end', x.start + x.size))")
+    ends = let("transform(found.m, (v, i) -> found.g[i] + length(v))", "x", running("x", "{0} + {1}"))
+    spans = let(ends, "e", "transform(found.m, (v, i) -> named_struct('value', v, 'start', e[i] - length(v), 'end', e[i]))")
+    return F.expr(let(f"named_struct('m', {found}, 'g', {gaps})", "found", spans))
 
 
 def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -76,22 +89,35 @@ def entities(kinds=tuple(PATTERNS)) -> Column:
     return F.flatten(F.array(*(F.expr(f"transform({k}, x -> named_struct('entity', concat('{k}:', {one[k]}), 'start', x.start, 'end', x.end))") for k in kinds)))
 
 
-def covered(text: str, kinds, name: str) -> str:
-    """SQL of the text with `name` (an expression of the span s) in place of each span; spans that overlap become one, named by the first."""
+#: Code points of a text's blocks, where it has many spans.
+BLOCK = 4096
+
+
+def covered(text: str, kinds, name: str, more: str = "''") -> str:
+    """SQL of the text with `name` (an expression of the span s) in place of each span; spans that overlap become one, named by the first.
+
+    `more` (of s and `before`, where the spans before it end) stands for a span that overlaps an earlier one. What stays is
+    cut out of blocks of the text, so many spans don't read a long text from its start again and again.
+    """
     every = ", ".join(f"transform({k}, x -> named_struct('start', x.start, 'end', x.end, 'kind', '{k}'))" for k in kinds)
-    joined = (
-        f"aggregate(array_sort(concat({every})), cast(array() as array<struct<start: int, end: int, kind: string>>), (a, x) -> "
-        "case when size(a) > 0 and element_at(a, -1).end > x.start then "
-        "concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end), 'kind', element_at(a, -1).kind))) "
-        "else concat(a, array(x)) end)"
+    piece = (  # n code points from `a` on
+        "case when n <= 0 then '' when a div z = (a + n - 1) div z then substring(t[cast(a div z as int)], cast(a % z + 1 as int), cast(n as int)) else concat("
+        "substring(t[cast(a div z as int)], cast(a % z + 1 as int)), array_join(slice(t, cast(a div z as int) + 2, greatest(0, cast((a + n - 1) div z as int) - cast(a div z as int) - 1)), ''), "
+        "substring(t[cast((a + n - 1) div z as int)], 1, cast((a + n - 1) % z + 1 as int))) end"
     )
-    pieces = f"transform(j, (s, i) -> concat(substring({text}, case when i = 0 then 1 else j[i - 1].end + 1 end, s.start - case when i = 0 then 0 else j[i - 1].end end), {name}))"
-    return f"transform(array({joined}), j -> case when size(j) = 0 then {text} else concat(array_join({pieces}, ''), substring({text}, element_at(j, -1).end + 1)) end)[0]"
+    cut_out = lambda a, n: let(a, "a", let(n, "n", piece))
+    ends = let("transform(j, s -> s.end)", "x", running("x", "greatest({0}, {1})"))
+    each = let("case when i = 0 then 0 else m[i - 1] end", "before", f"case when s.start >= before then concat({cut_out('before', 's.start - before')}, {name}) else {more} end")
+    tail = cut_out("m[size(m) - 1]", f"length({text}) - m[size(m) - 1]")
+    whole = f"concat(array_join(transform(j, (s, i) -> {each}), ''), {tail})"
+    blocks = f"case when z = {BLOCK} then regexp_extract_all({text}, r'(?s).{{1,{BLOCK}}}', 0) else array({text}) end"
+    body = let(f"case when size(j) > 32 then {BLOCK} else 2147483647 end", "z", let(blocks, "t", let(ends, "m", whole)))
+    return let(f"array_sort(concat({every}))", "j", f"case when size(j) = 0 then {text} else {body} end")
 
 
 def bare(text: str) -> str:
     """SQL of the text with blanks in place of the base spans: all else keeps its position."""
-    return covered(text, PATTERNS, "repeat(' ', s.end - s.start)")
+    return covered(text, PATTERNS, "repeat(' ', s.end - s.start)", "repeat(' ', greatest(0, s.end - before))")
 
 
 def disclosing_terms(docs: DataFrame, text_col: str = "text", alpha: float = 0.9, broadcast_rows: int = 500_000) -> DataFrame:
@@ -126,13 +152,17 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", alpha: float = 0.9
 
 def find_pii(docs: DataFrame, text_col: str = "text", broadcast_mb: int = 16, **how) -> DataFrame:
     """docs with columns email, ip, card, phone and term: arrays of spans (value, start, end)."""
-    terms = cut(disclosing_terms(docs, text_col, **how), "terms")
+    terms = cut(disclosing_terms(docs.select(F.col(text_col).alias("text")), **how), "terms")
     if (terms.agg(F.sum(F.lit(64) + F.octet_length(F.array_join("terms", " ")) + 32 * F.size("terms"))).first()[0] or 0) <= broadcast_mb << 20:
         terms = F.broadcast(terms)
-    found = docs.withColumn("tkey", F.xxhash64(text_col)).join(terms, "tkey", "left").withColumn("_text", F.coalesce(text_col, F.lit("")))
-    found = with_base(found, "_text").withColumn("_text", F.expr(f"case when terms is not null then {bare('_text')} end"))
+    kinds = (*PATTERNS, "term")
+    others = [c for c in docs.columns if c != text_col and c.lower() not in kinds]
+    own = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("row"), F.col(text_col).alias("given"))  # no name of the input can clash below
+    found = own.withColumn("tkey", F.xxhash64("given")).join(terms, "tkey", "left").withColumn("text", F.coalesce("given", F.lit("")))
+    found = with_base(found).withColumn("text", F.expr(f"case when terms is not null then {bare('text')} end"))
     pattern = r"concat(r'(?iu)(?<![\p{L}\p{M}\p{N}])(?:', array_join(terms, '|'), r')(?![\p{L}\p{M}\p{N}])')"
-    return found.withColumn("term", F.coalesce(matches("_text", pattern, "terms is not null"), F.array())).drop("tkey", "terms", "_text")
+    found = found.withColumn("term", F.coalesce(matches("text", pattern, "terms is not null"), F.array()))
+    return found.select(*(F.col("given").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in kinds), *kinds)
 
 
 def spans_text(kinds: tuple[str, ...]) -> Column:
@@ -150,3 +180,46 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS]
     return found.select("doc_id", *counts, F.sha2(spans_text(tuple(PATTERNS)), 256).alias("base_sha256"), spans_text((*PATTERNS, "term")).alias("spans"))
+
+
+def _span_sql(kind: str, pattern: str, valid: str) -> str:
+    """DuckDB: the spans of one kind in text t, as structs of kind, s and e."""
+    pattern = pattern.replace("'", "''")
+    every = (
+        f"list_transform(list_zip(regexp_extract_all(t, '{pattern}'), range(1, len(regexp_extract_all(t, '{pattern}')) + 1)), lambda z: {{'v': z[1], "
+        f"'e': CAST(list_sum(list_transform(string_split_regex(t, '{pattern}')[1:z[2]], lambda g: length(g))) + list_sum(list_transform(regexp_extract_all(t, '{pattern}')[1:z[2]], lambda g: length(g))) AS BIGINT)}})"
+    )
+    return f"list_transform(list_filter({every}, lambda x: {valid}), lambda x: {{'k': '{kind}', 'v': x.v, 's': x.e - length(x.v), 'e': x.e}})"
+
+
+_DIGITS_SQL = "regexp_replace(x.v, '[^0-9]', '', 'g')"
+_LUHN_SQL = f"list_sum(list_transform(range(1, length({_DIGITS_SQL}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(reverse({_DIGITS_SQL}), i, 1) AS INT) ELSE 2 * CAST(substr(reverse({_DIGITS_SQL}), i, 1) AS INT) // 10 + 2 * CAST(substr(reverse({_DIGITS_SQL}), i, 1) AS INT) % 10 END)) % 10 = 0"
+_SPANS_SQL = {
+    "email": _span_sql("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    "ip": _span_sql("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(x.v, '.'), lambda p: CAST(p AS HUGEINT) > 255)) = 0"),
+    "card": _span_sql("card", r"[0-9](?:[\x20-]?[0-9])+", f"CASE WHEN length({_DIGITS_SQL}) BETWEEN 13 AND 19 THEN {_LUHN_SQL} ELSE false END"),
+    "phone": _span_sql("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS_SQL}) BETWEEN 9 AND 15"),
+}
+_ENTITY_SQL = "x.k || ':' || CASE WHEN x.k IN ('email', 'ip') THEN lower(x.v) ELSE regexp_replace(x.v, '[^0-9]', '', 'g') END"
+_RUN = r"[\p{L}\p{M}\p{N}]+"
+_WORD_SQL = r"length(x) > 2 OR regexp_matches(x, '^[\p{Lu}\p{Lo}][\p{L}\p{M}]$')"
+#: The same by plain means: positions from the pieces between the matches, words as runs, co-occurrence as a join.
+SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), u AS (SELECT DISTINCT t, text IS NULL AS none FROM (SELECT text, coalesce(text, '') AS t FROM documents)),
+b AS (SELECT t, bool_and(none) AS none, {", ".join(f"{x} AS {k}" for k, x in _SPANS_SQL.items())} FROM u GROUP BY t),
+c AS (SELECT *, email || ip || card || phone AS spans FROM b),
+e AS (SELECT *, CASE WHEN len(spans) = 0 THEN t ELSE array_to_string(list_transform(list_zip(string_split(t, ''), range(0, length(t))), lambda z: CASE WHEN len(list_filter(spans, lambda x: x.s <= z[2] AND z[2] < x.e)) > 0 THEN ' ' ELSE z[1] END), '') END AS bare FROM c),
+w AS (SELECT *, regexp_extract_all(bare, '{_RUN}') AS runs, string_split_regex(bare, '{_RUN}') AS gaps FROM e),
+words AS (SELECT t, none, list_distinct(list_transform(list_filter(runs, lambda x: {_WORD_SQL}), lambda x: lower(x))) AS terms, list_distinct(list_transform(spans, lambda x: {_ENTITY_SQL})) AS entities FROM w),
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM words WHERE NOT none),
+m0 AS (SELECT t, unnest(entities) AS entity FROM words WHERE NOT none), ne AS (SELECT entity, count(*) AS n_entity FROM m0 GROUP BY entity),
+m AS (SELECT DISTINCT t, CASE WHEN n_entity = 1 THEN 'one:' || md5(t) ELSE entity END AS entity, n_entity FROM m0 JOIN ne USING (entity), n WHERE n_entity < n),
+each AS (SELECT t, unnest(terms) AS term FROM words WHERE NOT none), nt AS (SELECT term, count(*) AS n_term FROM each GROUP BY term),
+pairs AS (SELECT entity, term, count(*) AS n_both, any_value(n_entity) AS n_entity, any_value(n_term) AS n_term FROM m JOIN each USING (t) JOIN nt USING (term) GROUP BY entity, term),
+telling AS (SELECT list(DISTINCT term) AS ts FROM pairs, n WHERE log2(n_both * n / (n_entity * n_term)) >= 0.9 * log2(n / n_entity)),
+f AS (SELECT w.*, list_transform(list_filter(list_zip(runs, range(1, len(runs) + 1)), lambda z: list_contains(l.own, lower(z[1]))), lambda z: {{'k': 'term', 'v': z[1],
+  's': CAST(list_sum(list_transform(gaps[1:z[2]], lambda g: length(g))) + coalesce(list_sum(list_transform(runs[1:z[2] - 1], lambda g: length(g))), 0) AS BIGINT), 'e': CAST(list_sum(list_transform(gaps[1:z[2]], lambda g: length(g))) + list_sum(list_transform(runs[1:z[2]], lambda g: length(g))) AS BIGINT)}}) AS term
+  FROM w JOIN (SELECT t, list_intersect(terms, coalesce(ts, [])) AS own FROM words, telling) l USING (t))
+SELECT d.doc_id, len(email) AS n_email, len(ip) AS n_ip, len(card) AS n_card, len(phone) AS n_phone, sha256(array_to_string(list_transform(spans, lambda x: concat_ws(':', x.k, x.s, x.e)), ',')) AS base_sha256,
+  array_to_string(list_transform(spans, lambda x: concat_ws(':', x.k, x.s, x.e)) || list_transform(term, lambda x: concat_ws(':', x.k, x.s, x.e)), ',') AS spans FROM d JOIN f ON f.t = d.t
+"""

@@ -22,6 +22,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_minhash_near_dedup": near_dedup.SQL,
     "op3_threshold_topk": topk.SQL,
+    "op4_pii": pii.SQL,
+    "op6_repeated_bytes": repeats.SQL,
     "op7_url_filter": url_filter.SQL,
+    "op8_mix_sources": mixing.SQL,
 }

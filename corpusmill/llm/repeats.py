@@ -4,18 +4,19 @@ A window is a run of `length` bytes; a byte goes if any window over it starts el
 its anchor, the leftmost k-gram with the least hash in it: equal windows have equal anchors at equal places. So the windows
 fall into runs that share an anchor, and a run's context (the bytes that its windows cover) is compared as a whole first:
 
-1. Each distinct text gives (anchor, context, place) for its runs - about one for every (length - k) / 2 bytes.
+1. Each text gives (anchor, context, place) for its runs - about one for every (length - k) / 2 bytes.
 2. Anchors that stand at one place only are done. Contexts that stand at several places are repeated in full.
 3. Where an anchor has different contexts, their windows go through 1 and 2 again with longer k-grams, and what is still
    open is compared window by window, by hashes.
 4. Repeated windows become spans of their text, and the spans are cut out.
 
-All steps are counts, minima and joins with partial aggregation, so a passage or line in a third of all documents isn't
-gathered anywhere. Hashes are 64-bit polynomials of the bytes; see README for why the columns of a collection-wide suffix
+All steps are counts, minima and joins with partial aggregation; an anchor, a context or a text that many rows share is
+joined where its rows are (hot_join), so a passage or line in a third of all documents isn't gathered anywhere. Hashes are 64-bit polynomials of the bytes; see README for why the columns of a collection-wide suffix
 order aren't built one after the other.
 
 Defined cases. Null text: empty. Texts shorter than a window: nothing to remove. Exact copies: removed whole. Repeated
-rows and null doc_ids: by their text like others. Empty table: no rows.
+rows and null or repeated doc_ids: by their text like others. Very long texts: whole. Empty table: no rows. The result has
+the operator's columns only, so no name of the input can clash.
 """
 
 from __future__ import annotations
@@ -28,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks_of, cut, table
+from .common import blocks_of, cut, hot_join, small, table
 from .kernels import joined, mix, prefix_sums, span_hashes
 
 U = np.uint64
 _PLACE_BITS = 25
+#: Bytes that are broadcast at most; what is larger is joined by a shuffle.
+BROADCAST = 8 << 20
 
 
 def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
@@ -92,11 +95,6 @@ def spans_of(ranges: list[tuple[int, int]], length: int) -> list[tuple[int, int]
     return out
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast, if a count shows that it has few rows."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def merged_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The same windows in ranges (first, count) that neither overlap nor touch."""
     out: list[tuple[int, int]] = []
@@ -108,7 +106,7 @@ def merged_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_ranges(docs: DataFrame, length: int, grams: tuple[int, ...], text_col: str, broadcast_rows: int) -> DataFrame:
+def repeated_ranges(docs: DataFrame, length: int, grams: tuple[int, ...], text_col: str) -> DataFrame:
     """(tkey, start, n): n windows of the text with this key, from start on, stand elsewhere too. Exact copies don't count.
 
     Each length in grams is a level: what contexts at one level leave open goes to the next, whose longer anchors are rarer
@@ -136,15 +134,16 @@ def repeated_ranges(docs: DataFrame, length: int, grams: tuple[int, ...], text_c
     wholes, source = [], keyed
     for k in grams:
         rows = cut(source.mapInArrow(anchors_of(k), "tkey long, start int, n int, anchor long, context long"), "anchors").withColumn("place", F.xxhash64("tkey", "start"))
-        several = cut(rows.groupBy("anchor").agg(*ends).where("low != high").select("anchor"), "several")
-        shared = cut(rows.join(_small(several, broadcast_rows), "anchor", "left_semi"), "shared")
-        contexts = cut(shared.groupBy("anchor", "context").agg(*ends), "contexts")
-        open_ = contexts.groupBy("anchor").agg(F.count("*").alias("all"), F.count_if(F.col("low") == F.col("high")).alias("single")).where("all > 1 and single > 0").select("anchor", F.lit(True).alias("open"))
-        judged = cut(shared.join(contexts, ["anchor", "context"]).join(open_, "anchor", "left").where("low != high or open").select("tkey", "start", "n", "low", "high", "place", "open"), "judged")
+        several = cut(rows.groupBy("anchor").agg(*ends, F.count("*").alias("rows")).where("low != high").select("anchor", "rows"), "several")
+        shared = cut(hot_join(rows, several, ["anchor"], "rows", "left_semi"), "shared")
+        contexts = cut(shared.groupBy("anchor", "context").agg(*ends, F.count("*").alias("rows")), "contexts")
+        open_ = contexts.groupBy("anchor").agg(F.count("*").alias("all"), F.count_if(F.col("low") == F.col("high")).alias("single")).withColumn("open", (F.col("all") > 1) & (F.col("single") > 0)).select("anchor", "open", "all")
+        contexts = cut(hot_join(contexts, cut(open_, "open"), ["anchor"], "all").where("low != high or open"), "contexts")
+        judged = cut(hot_join(shared, contexts, ["anchor", "context"], "rows").select("tkey", "start", "n", "low", "high", "place", "open"), "judged")
         wholes.append(judged.where("low != high").select("tkey", "start", "n"))
         # of a repeated context one place stands for all
         left = judged.where("open and (low = high or place = low)").groupBy("tkey").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
-        source = keyed.join(_small(cut(left, "left"), broadcast_rows // 8), "tkey").select("tkey", "text", "ranges")
+        source = keyed.join(small(cut(left, "left"), BROADCAST), "tkey").select("tkey", "text", "ranges")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,19 +152,19 @@ def repeated_ranges(docs: DataFrame, length: int, grams: tuple[int, ...], text_c
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), key)), pa.array(starts.astype(np.int32)), pa.array(hashes)], names=["tkey", "start", "window"])
 
     single = cut(source.mapInArrow(windows, "tkey long, start int, window long"), "windows").withColumn("place", F.xxhash64("tkey", "start"))
-    again = single.groupBy("window").agg(*ends).where("low != high").select("window")
-    out = single.join(again, "window", "left_semi").select("tkey", "start", F.lit(1).alias("n"))
+    again = cut(single.groupBy("window").agg(*ends, F.count("*").alias("rows")).where("low != high").select("window", "rows"), "again")
+    out = hot_join(single, again, ["window"], "rows", "left_semi").select("tkey", "start", F.lit(1).alias("n"))
     for whole in wholes:
         out = out.unionByName(whole)
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, grams: tuple[int, ...] = (64, 150, 190), id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, grams: tuple[int, ...] = (64, 150, 190), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of start, end in bytes) and kept (the bytes that stay)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     copies = docs.where(F.octet_length("text") >= length).groupBy(F.xxhash64("text").alias("tkey")).agg(F.count("*").alias("c"), F.max(F.octet_length("text")).alias("bytes"))
     copied = copies.where("c > 1").select("tkey", F.lit(0).alias("start"), (F.col("bytes") - length + 1).alias("n"))
-    ranges = repeated_ranges(docs, length, grams, "text", broadcast_rows).unionByName(copied)
+    ranges = repeated_ranges(docs, length, grams, "text").unionByName(copied)
     of_text = ranges.groupBy("tkey").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,9 +188,21 @@ def remove_repeats(docs: DataFrame, length: int = 200, grams: tuple[int, ...] =
             columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    placed = docs.withColumn("tkey", F.xxhash64("text")).join(_small(spans, broadcast_rows // 4), "tkey", "left").select("doc_id", "text", "edges")
+    placed = docs.withColumn("tkey", F.xxhash64("text")).join(small(spans, BROADCAST), "tkey", "left").select("doc_id", "text", "edges")
     return placed.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>, kept binary")
 
 
 def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans", "kept")
+
+
+#: The same by plain means: every window of every text, those that stand twice, the runs of bytes that they cover.
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 400)) AS x FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM w WHERE x IN (SELECT x FROM w GROUP BY x HAVING count(*) > 1)),
+g AS (SELECT doc_id, i, sum(CASE WHEN i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, lag(i, 1, i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM r)),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY doc_id, run),
+k AS (SELECT doc_id, list({'a': a, 'b': b} ORDER BY a) AS ss, sum(b - a) AS gone, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT d.doc_id, d.h, coalesce(k.gone, 0) AS gone, coalesce(k.n, 0) AS n, coalesce(list_transform(k.ss, lambda x: x.a), []) || [length(d.h) // 2] AS ends, [0] || coalesce(list_transform(k.ss, lambda x: x.b), []) AS starts FROM d LEFT JOIN k USING (doc_id))
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(gone AS BIGINT) AS n_removed, CAST(n AS BIGINT) AS n_spans, sha256(unhex(array_to_string(list_transform(list_zip(starts, ends), lambda z: substr(h, CAST(2 * z[1] + 1 AS BIGINT), CAST(2 * (z[2] - z[1]) AS BIGINT))), ''))) AS kept_sha256 FROM o
+"""

@@ -1,16 +1,20 @@
 """Exact top-k by inner product in three phases with a uniform threshold.
 
 A vector's dimensions are cut into `lists` parts; each part is a score list, and a row's score is the sum over the lists.
-Phase 1 gathers each list's k best entries for every query; the k-th best whole score among the rows met is a safe bound.
-Phase 2 gives every list the uniform cutoff bound / lists: a row below it in all lists is below the bound, so the entries
-at or above it are sufficient. Phase 3 resolves the whole scores of those rows exactly and keeps the k best.
+Phase 1 gathers the k best entries of each list for every query, over one block of rows, and resolves them: the k-th best of
+the whole scores met is a safe bound, whatever rows it comes from. Phase 2 gives every list the uniform cutoff bound / lists:
+a row below it in all lists is below the bound, so the entries at or above it are sufficient. Phase 3 resolves the scores of
+the rows that have one and keeps those that reach the bound; only they leave a task. So all rows are multiplied once, and one
+block of them twice.
 
-Queries and rows are dealt into blocks, and each pair of a query block and a row block is one task's matrix product; lists
-of k entries are merged 64 at a time, so no task holds more than a block or 64 lists.
+Queries and rows are dealt into blocks, and each pair of a query block and a row block is one task's matrix product, in
+single precision where that is exact; lists of k entries are merged 64 at a time, so no task holds more than a block or 64
+lists.
 
 Components become floor(64 * x). Defined cases. Null vectors, vectors with a null or non-finite component and rows without
 id take no part. Shorter vectors count as if zeros followed. Rows with an id that another row has: the least vector stands
-for the id. Fewer candidates than k: all of them. Empty table: no rows. A product that could leave 64 bits is an error.
+for the id. Fewer candidates than k: all of them; ties go to smaller ids. Empty table: no rows. The result has the operator's
+columns only, so no name of the input can clash. A product that could leave 64 bits is an error.
 """
 
 from __future__ import annotations
@@ -39,8 +43,10 @@ def quantized(column: pa.ChunkedArray, dims: int) -> np.ndarray:
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact whole-number products: in doubles while they are exact there, else in 64-bit integers."""
+    """Exact whole-number products: in floating point while they are exact there, else in 64-bit integers."""
     bound = (np.abs(q).max(initial=0) * np.abs(x).max(initial=0)) * max(1, q.shape[1])
+    if bound < 2**24:
+        return (q.astype(np.float32) @ x.T.astype(np.float32)).astype(np.int64)
     if bound < 2**53:
         return (q @ x.T).astype(np.int64)
     if bound >= 2**63:
@@ -58,6 +64,18 @@ def best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
+def sufficient(partial: np.ndarray, bound: int | None) -> np.ndarray:
+    """The rows with an entry at or above the uniform cutoff in any list. partial: lists x rows."""
+    if bound is None:
+        return np.arange(partial.shape[1])
+    return np.flatnonzero((partial.max(axis=0) * len(partial)) >= bound)
+
+
+def gathered(partial: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The rows that are among the k best entries of any list."""
+    return np.unique(np.concatenate([best_rows(p, ids, k) for p in partial]))
+
+
 def merged(lists: DataFrame, k: int, n_blocks: int, fan: int = 64) -> DataFrame:
     """(query_id, best): the k best of all row blocks' lists, `fan` at a time."""
     out = lists
@@ -90,10 +108,10 @@ def top_k(
     spread = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     rows = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1))).alias("qb"), spread(n_rb).alias("rb"), F.col("vec_id").alias("row_id"), F.col("embedding").alias("row"))
 
-    def asked(extra: DataFrame | None) -> DataFrame:
-        x = queries if extra is None else queries.join(extra.withColumnRenamed("query_id", "vec_id"), "vec_id")
-        bound = F.lit(None).cast("long") if extra is None else F.col("bound")
-        return x.select(spread(n_qb).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_rb - 1))).alias("rb"), "vec_id", "embedding", bound.alias("bound"))
+    def asked(extra: DataFrame | None, last: int) -> DataFrame:
+        """Each query with its bound, if there is one yet, once for each of the row blocks 0 to `last`."""
+        x = queries.withColumn("bound", F.lit(None).cast("long")) if extra is None else queries.join(extra.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
+        return x.select(spread(n_qb).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(last))).alias("rb"), "vec_id", "embedding", "bound")
 
     def tiles(q: pa.Table, x: pa.Table) -> Iterator[tuple]:
         """Runs of queries with their partial scores in every list; the query's own row gets no place."""
@@ -118,7 +136,7 @@ def top_k(
     def phase1(key, q: pa.Table, x: pa.Table) -> pa.Table:
         found = []
         for name, _, partial, ids in tiles(q, x) if len(x) and len(q) else ():
-            met = np.unique(np.concatenate([best_rows(p, ids, k) for p in partial]))
+            met = gathered(partial, ids, k)
             total = partial[:, met].sum(axis=0)
             at = best_rows(total, ids[met], k)
             found.append((name, key[1].as_py(), listed(total[at], ids[met][at])))
@@ -127,7 +145,7 @@ def top_k(
     def phase23(key, q: pa.Table, x: pa.Table) -> pa.Table:
         found = []
         for name, bound, partial, ids in tiles(q, x) if len(x) and len(q) else ():
-            enough = np.flatnonzero((partial * lists >= bound).any(axis=0)) if bound is not None else np.arange(len(ids))
+            enough = sufficient(partial, bound)
             total = partial[:, enough].sum(axis=0)
             if bound is not None:
                 enough, total = enough[total >= bound], total[total >= bound]
@@ -136,12 +154,12 @@ def top_k(
                 found.append((name, key[1].as_py(), listed(total[at], ids[enough][at])))
         return entries(found)
 
-    def over_grid(asked_: DataFrame, f) -> DataFrame:
-        return asked_.groupBy("qb", "rb").cogroup(rows.groupBy("qb", "rb")).applyInArrow(f, f"query_id long, rb int, {BEST}")
+    def over_grid(asked_: DataFrame, of: DataFrame, f) -> DataFrame:
+        return asked_.groupBy("qb", "rb").cogroup(of.groupBy("qb", "rb")).applyInArrow(f, f"query_id long, rb int, {BEST}")
 
-    first = merged(over_grid(asked(None), phase1), k, n_rb)
+    first = over_grid(asked(None, 0), rows.where("rb = 0"), phase1)
     bounds = cut(first.select("query_id", F.when(F.size("best") >= k, F.element_at("best", -1)["score"]).alias("bound")), "bounds")
-    last = merged(over_grid(asked(bounds), phase23), k, n_rb)
+    last = merged(over_grid(asked(bounds, n_rb - 1), rows, phase23), k, n_rb)
     out = last.select("query_id", F.posexplode("best").alias("i", "b"))
     return out.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), (-F.col("b.minus_id")).alias("vec_id"), F.col("b.score").alias("score"))
 

@@ -8,11 +8,13 @@ its clauses, turned into a probability.
 
 The lexicon: a few fixed words of English, and terms learned from labelled documents - words and beginnings of words (for
 inflected forms) that stand much more often in toxic ones. It is fitted on `sample` labelled documents at most, chosen by a
-hash of doc_id among those whose crc32(doc_id) modulo 5 isn't 0, and holds `most_terms` terms at most. Scores look at the
-text alone. An automaton finds the terms in whole texts; only clauses with a term are read by the grammar.
+hash of doc_id among those whose crc32(doc_id) modulo 5 isn't 0; all terms that pass the thresholds are in it (the sample
+bounds them). Scores look at the text alone. An automaton finds the terms in whole texts; only clauses with a term are read
+by the grammar, each once, so the time is linear in a text's length.
 
 Defined cases. Null or empty text: the score of a text without any match. Null labels or doc_ids: not learned from. No
-labels at all: the fixed words alone. Repeated rows: equal scores. Empty table: no rows.
+labels at all: the fixed words alone. Repeated rows: equal scores. Very long texts: read whole. Empty table: no rows. Columns
+of the input that are named like the added ones (`score`, `predicted`, or the names given) are replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -35,10 +37,6 @@ TARGETS = frozenset("you your yours yourself u ur he him his she her they them t
 NEGATIONS = frozenset("not no never none nobody isnt arent wasnt dont doesnt didnt cannot cant without hardly".split())
 REPORTING = frozenset("said says say saying told tells wrote writes quoted quote quotes claimed claims alleged allegedly called reportedly according".split())
 SCOPE = 3
-#: A document's sum counts up to here.
-MOST = 30.0
-#: Letters of a word's beginning that may be a term.
-BEGINNINGS = (3, 4, 5, 6, 7, 8)
 _CLAUSE = re.compile(r"[.!?;:\n\r]")
 _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 
@@ -123,14 +121,16 @@ class Grammar:
         """The sum over the clauses with a term at the beginning of a word."""
         if not self.terms or not text:
             return 0.0
-        text, total, done = text.lower(), 0.0, -1
+        text, total, done, last = text.lower(), 0.0, -1, 0
         for end, n in self.automaton.iter(text):
             begin = end - n + 1
             if begin < done or (begin and text[begin - 1].isalnum()):
                 continue
             stop = _CLAUSE.search(text, end)
             done = stop.start() if stop else len(text)
-            start = max(text.rfind(c, 0, begin) for c in ".!?;:\n\r") + 1
+            # no separator before the last clause's end need be looked for again
+            start = max(max(text.rfind(c, last, begin) for c in ".!?;:\n\r") + 1, last)
+            last = done
             total += self.clause(text[start:done])
         return total
 
@@ -139,7 +139,7 @@ def fixed_terms() -> dict[str, tuple[float, bool, str]]:
     return {w: (3.0, False, "I") for w in INSULTS} | {w: (3.0, False, "V") for w in THREATS}
 
 
-def learned_terms(text_labels: DataFrame, least: int = 5, ratio: float = 4.0, evidence: float = 16.0, most_terms: int = 5000) -> dict[str, tuple[float, bool, str]]:
+def learned_terms(text_labels: DataFrame, least: int = 5, ratio: float = 4.0, evidence: float = 16.0) -> dict[str, tuple[float, bool, str]]:
     """Words and their beginnings whose frequencies in toxic and clean documents have a log ratio of `ratio` or more.
 
     With many rare words some stand in toxic documents alone by chance; so the counts must also be unlikely otherwise, by a
@@ -149,17 +149,19 @@ def learned_terms(text_labels: DataFrame, least: int = 5, ratio: float = 4.0, ev
     n = {bool(r["toxic"]): r["count"] for r in totals}
     if not n.get(True) or not n.get(False):
         return {}
-    words = text_labels.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,40}"), F.lit(0)))).alias("w"))
+    words = text_labels.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)))).alias("w"))
     counted = words.groupBy("w").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
     # beginnings add up over words; what they say about documents is close enough, for their words rarely meet in one
-    starts = F.array(F.struct(F.col("w").alias("t"), F.lit(True).alias("whole")), *(F.when(F.length("w") > k, F.struct(F.substring("w", 1, k).alias("t"), F.lit(False).alias("whole"))) for k in BEGINNINGS))
-    each = counted.select("a", "n", F.explode(F.array_compact(starts)).alias("x")).groupBy("x.t", "x.whole").agg(F.sum("a").alias("a"), F.sum(F.col("n") - F.col("a")).alias("c"), F.count_if(F.col("a") > 0).alias("forms"))
+    whole = F.array(F.struct(F.col("w").alias("t"), F.lit(True).alias("whole")))
+    lengths = F.when(F.length("w") > 3, F.sequence(F.lit(3), F.length("w") - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.concat(whole, F.transform(lengths, lambda k: F.struct(F.substring("w", F.lit(1), k).alias("t"), F.lit(False).alias("whole"))))
+    each = counted.select("a", "n", F.explode(starts).alias("x")).groupBy("x.t", "x.whole").agg(F.sum("a").alias("a"), F.sum(F.col("n") - F.col("a")).alias("c"), F.count_if(F.col("a") > 0).alias("forms"))
     log = F.log((F.col("a") + 0.1) / n[True]) - F.log((F.col("c") + 0.1) / n[False])
     share, all_ = n[True] / (n[True] + n[False]), F.col("a") + F.col("c")
     likely = F.col("a") * F.log(F.col("a") / (all_ * share)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (all_ * (1 - share)))).otherwise(0.0)
-    top = each.withColumn("w", log).where((F.col("a") >= least) & (F.col("w") >= ratio) & (likely >= evidence) & (F.col("whole") | (F.col("forms") >= 3))).orderBy(F.desc("w"), F.desc("a"), "t", "whole").limit(most_terms).collect()
+    top = each.withColumn("w", log).where((F.col("a") >= least) & (F.col("w") >= ratio) & (likely >= evidence) & (F.col("whole") | (F.col("forms") >= 3))).collect()  # bounded by the sample: `least` of its documents hold each
     out: dict[str, tuple[float, bool, str]] = {}
-    for r in sorted(top, key=lambda r: r["whole"], reverse=True):  # a beginning takes the place of the same whole word
+    for r in sorted(top, key=lambda r: (not r["whole"], r["t"])):  # a beginning takes the place of the same whole word
         out[r["t"]] = (min(6.0, r["w"]), r["whole"], "I")
     return out
 
@@ -205,11 +207,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str =
     """Terms, slope and intercept from `sample` labelled documents at most."""
     own = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("_id is not null and toxic is not null").where(~held_out("_id"))
     chosen = own.groupBy("_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    texts = cut(docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).select("toxic", F.coalesce(text_col, F.lit("")).alias("text")), "labelled")
+    own_docs = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    texts = cut(own_docs.join(F.broadcast(chosen), own_docs["id"] == chosen["_id"]).select("toxic", "text"), "labelled")
     terms = fixed_terms() | learned_terms(texts)
-    pairs = raw_scores(texts, terms, "text", "x").select("x", "toxic").limit(2 * sample).collect()  # bounded by the sample
+    pairs = raw_scores(texts, terms, "text", "x").select("x", "toxic").orderBy("x", "toxic").limit(2 * sample).collect()  # bounded by the sample, but for repeated ids
     if len({r["toxic"] for r in pairs}) == 2:
-        slope, intercept = fit_logistic(np.array([min(r["x"], MOST) for r in pairs]), np.array([float(r["toxic"]) for r in pairs]))
+        slope, intercept = fit_logistic(np.array([r["x"] for r in pairs]), np.array([float(r["toxic"]) for r in pairs]))
     else:
         slope, intercept = 1.0, -2.0
     return {"terms": terms, "slope": slope, "intercept": intercept}
@@ -217,9 +220,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str =
 
 def score_documents(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
     """docs with the score (0 to 1) and whether it is 0.5 or more."""
+    docs = docs.drop(*(c for c in (score_col, predicted_col) if c != text_col))
     name = free_name(docs, "raw")
     raw = raw_scores(docs, model["terms"], text_col, name)
-    z = F.lit(model["slope"]) * F.least(name, F.lit(MOST)) + F.lit(model["intercept"])
+    z = F.lit(model["slope"]) * F.col(name) + F.lit(model["intercept"])
     return raw.withColumn(score_col, 1 / (1 + F.exp(-z))).withColumn(predicted_col, (F.col(score_col) >= 0.5).cast("int")).drop(name)
 
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -58,6 +59,44 @@ def test_sharding(spark):
     assert sharding.external_shuffle(docs_of(spark, [])).count() == 0
 
 
+def test_sharding_of_repeated_rows(spark):
+    """Rows alike in id and text, a third of all: dealt out over the buckets, gapless, and the same again."""
+    rows = [(7, "same")] * 400 + [(None, None)] * 300 + [(i, f"text {i}") for i in range(500)]
+    df = docs_of(spark, rows).repartition(5)
+    out = sharding.external_shuffle(df, 16, bucket_bytes=4000, hot_rows=50).toPandas()
+    counts = out.groupby("shard").size()
+    assert len(out) == 1200 and counts.max() - counts.min() <= 1 and sorted(out["place"]) == list(range(1200))
+    places = sorted(out[out["doc_id"] == 7]["place"])
+    assert max(np.diff(places)) < 100 and places[-1] - places[0] > 900  # spread over the whole order, not in one bucket
+    again = sharding.external_shuffle(df.coalesce(2), 16, bucket_bytes=4000, hot_rows=50).toPandas()
+    assert sorted(map(str, out.values.tolist())) == sorted(map(str, again.values.tolist()))
+
+
+def test_mixing_of_repeated_rows(spark, monkeypatch):
+    """Many rows without id, or alike in all: budgets are met to the word, no row above twice its size, and the same again however the rows lie."""
+    monkeypatch.setattr(mixing, "HOT", 50)
+    rows = [(None, f"w {i}", "a") for i in range(300)] + [(3, "one two three", "a")] * 200 + [(None, None, None)] * 40 + [(i, "z " * (i % 9), "b") for i in range(100)] + [(5, "long " * 4000, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix_to_weights(df.repartition(7), range_rows=16).select("doc_id", "text", "source", "size", "taken").toPandas()
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len(words(t))
+    want = mixing.targets(list(sizes.items()))
+    assert len(out) == len(rows)
+    for s in sizes:
+        own = out[out["source"].isna()] if s is None else out[out["source"] == s]
+        assert own["taken"].sum() == int(want[s]) and (own["taken"] <= 2 * own["size"]).all()
+    again = mixing.mix_to_weights(df.coalesce(1), range_rows=16).select("doc_id", "text", "source", "size", "taken").toPandas()
+    assert sorted(map(str, out.values.tolist())) == sorted(map(str, again.values.tolist()))
+
+
+def test_mixing_targets_by_hand():
+    """Shares 5, 2, 1 of 150 % of all sizes, none above twice its source's, the excess dealt again: worked out by hand."""
+    assert mixing.targets([("a", 100), ("b", 100), ("c", 100)]) == {"a": 200, "b": Fraction(500, 3), "c": Fraction(250, 3)}  # 450: 281.25 is cut to 200, 250 go 2 : 1
+    assert mixing.targets([("b", 10), ("a", 1000)]) == {"a": 1495, "b": 20}  # 1515: 432.9 is cut to 20, then 1495 is below 2000
+    assert mixing.targets([(None, 8), ("x", 8)]) == {"x": 16, None: 8} and mixing.targets([("x", 0)]) == {"x": 0} and mixing.targets([]) == {}
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (i % 13), None if i % 11 == 0 else f"s{i % 3}") for i in range(300)] + [(None, None, "s1"), (5, "a b", "z"), (5, "a b", "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("target", F.lit("x"))
@@ -119,17 +158,20 @@ def test_packing_capacities_bind(docs, cost):
 def test_packing(spark):
     from tokenizers import Tokenizer
 
-    rows = ODD + [(20, "  two  blanks \n\n x <|endoftext|> don't 12"), (21, "q  r\r\n s")]
-    out = packing.pack_documents(docs_of(spark, rows), with_ids=True).toPandas()
+    rows = ODD + [(20, "  two  blanks \n\n x <|endoftext|> don't 12"), (21, "q  r\r\n s"), (None, None)]
+    out = packing.pack_documents(docs_of(spark, rows).withColumn("length", F.lit("mine")).withColumn("part", F.lit(1)), with_ids=True).toPandas()
     t = Tokenizer.from_file(packing.tokenizer_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    got, want = collections.Counter(), collections.Counter()
+    for doc, piece, ids, crc in zip(out["doc_id"], out["piece"], out["ids"], out["ids_crc32"], strict=True):
+        got[None if doc != doc else int(doc), piece, bytes(ids)] += 1
+        assert zlib.crc32(ids) == crc
     for doc, text in rows:
-        if doc in (None, 7):
-            continue
-        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4")
-        own = out[out["doc_id"] == doc].sort_values("piece")
-        assert b"".join(own["ids"]) == ids.tobytes() and (own["length"] <= 1024).all()
-        assert all(zlib.crc32(x) == c for x, c in zip(own["ids"], own["ids_crc32"], strict=True))
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4").tobytes()
+        head = 4 * ((len(ids) // 4) % 1024 or 1024)
+        for i, (a, b) in enumerate([(0, head), *((x, x + 4096) for x in range(head, len(ids), 4096))]):
+            want[doc, i, ids[a:b]] += 1
+    assert got == want and (out["length"] <= 1024).all()
+    assert packing.pack_documents(docs_of(spark, [(1, "<|endoftext|>")]), added=None).first()["length"] > 2
     for _, g in out.sort_values("offset").groupby("sequence_id"):
         assert g["length"].sum() <= 1024 and (g["offset"] == g["length"].cumsum() - g["length"]).all()
     assert packing.pack_documents(docs_of(spark, [])).count() == 0
@@ -149,11 +191,21 @@ def test_packing_added_token(spark, tmp_path):
 
 
 def test_near_duplicates_odd(spark):
-    rows = [r for r in ODD if r[0] not in (None, 7)]
-    out = near_dedup.near_duplicates(docs_of(spark, rows), k=4).toPandas().set_index("doc_id")
-    want = plain_components(rows, 4)
-    assert {d: out.loc[d, "component_id"] for d, _ in rows} == want
-    assert {d: out.loc[d, "n_shingles"] for d, _ in rows} == {d: len(shingle_set(t, 4)) for d, t in rows}
+    long = "far away words " * 3000
+    rows = ODD + [(None, None), (None, "A b c d e f"), (9, "x Y"), (None, "alone here"), (None, "alone here"), (10, long), (11, long + "end"), (None, ""), (5, "\x0b\t")]
+    out = near_dedup.near_duplicates(docs_of(spark, rows).withColumn("set_key", F.lit("mine")).withColumn("bands", F.lit(2)).withColumn("comp", F.lit(3)), k=4).collect()
+    sets = [shingle_set(t, 4) for _, t in rows]
+    linked = lambda a, b: a and b and 100 * len(a & b) >= 80 * len(a | b)
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i, a in enumerate(sets):
+            group[i] = min(group[j] for j, b in enumerate(sets) if i == j or linked(a, b))
+    want = collections.Counter()
+    for i, (d, _) in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if group[j] == group[i] and rows[j][0] is not None]
+        root = min(ids, default=None) if sets[i] else d
+        want[d, len(sets[i]), root, d == root] += 1
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in out) == want
     assert near_dedup.keep_one(docs_of(spark).withColumn("gone", F.lit(1))).count() == 8  # 4 goes with 1; repeated rows stay alike
     assert near_dedup.near_duplicates(docs_of(spark, [])).count() == 0
 
@@ -245,6 +297,43 @@ def plain_spans(t):
     return ",".join(f"{k}:{m.start()}:{m.end()}" for k, (p, ok) in BASE.items() for m in re.finditer(p, t or "") if ok(m[0]))
 
 
+def test_pii_of_many_matches(spark):
+    """32,000 addresses in one text are found and replaced in a few seconds, at the right places."""
+    import time
+
+    text = " ".join(f"é{'x' * (i % 3)}@h{i % 7}.io a{i}@b.co" for i in range(16_000))
+    docs = docs_of(spark, [(1, text)])
+    began = time.time()
+    found = pii.with_base(docs.select("doc_id", "text"))
+    got = found.select(pii.spans_text(tuple(pii.PATTERNS)).alias("s"), F.expr(pii.covered("text", pii.PATTERNS, "'[X]'")).alias("t"), F.expr(pii.bare("text")).alias("b")).first()
+    assert time.time() - began < 20
+    assert got["s"] == plain_spans(text) and got["t"] == re.sub(BASE["email"][0], "[X]", text) and got["b"] == re.sub(BASE["email"][0], lambda m: " " * len(m[0]), text)
+
+
+def test_pii_of_overlapping_spans(spark):
+    """Spans of several kinds that overlap become one, named by the first, few or many in a text."""
+    one = "x a@1.2.3.4.de y +4111 1111 1111 1111 z 12.34.56.78 "
+    for n in (1, 60):
+        found = pii.with_base(docs_of(spark, [(1, one * n)]))
+        got = found.select(F.expr(pii.covered("text", pii.PATTERNS, "concat('[', s.kind, ']')")).alias("t"), F.expr(pii.bare("text")).alias("b"), pii.spans_text(tuple(pii.PATTERNS)).alias("s")).first()
+        spans = sorted((int(s), int(e), k) for k, s, e in (x.split(":") for x in got["s"].split(",")))
+        want, at, blank = "", 0, list(one * n)
+        for s, e, k in spans:
+            if s >= at:
+                want += (one * n)[at:s] + f"[{k}]"
+            at = max(at, e)
+            blank[s:e] = " " * (e - s)
+        assert got["t"] == want + (one * n)[at:] and got["b"] == "".join(blank)
+
+
+def test_pii_clashing_columns(spark):
+    docs = docs_of(spark, [(1, "mail a@b.co"), (2, None)]).withColumns({c: F.lit(c) for c in ("terms", "tkey", "row", "given", "phone", "_text", "entities")})
+    out = pii.find_pii(docs)
+    assert out.columns == ["doc_id", "text", "terms", "tkey", "row", "given", "_text", "entities", "email", "ip", "card", "phone", "term"]
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert rows[1]["email"][0]["start"] == 5 and rows[2]["text"] is None and rows[2]["terms"] == "terms"
+
+
 HARD = ["a@b.c_d@e.f", "x a.b@c-d.e.f. y", "1.2.3.4.5.6.7.8", "256.1.1.1 010.0255.001.255", "4111 1111 1111 1111 and 4111-1111-1111-1112", "+1 (858) 555-7280 x", "é😀 a@b.co +49 123 456 7890", "", None, "9" * 30000, "1 " * 20000, "a" * 30000, "a.b@c..d", "a@b.c" * 50, "+1((((((((2", "+123456789"]
 
 
@@ -311,6 +400,56 @@ def test_toxicity_grammar():
     assert g.score("") == 0 and g.score("a confusion of idiots? no: vermin.") > 0
 
 
+def plain_score(text, terms):
+    """The grammar's sum without machines: every factor is looked up in the clause's words by their distances."""
+    total = 0.0
+    for clause in re.split(r"[.!?;:\n\r]", (text or "").lower()):
+        tokens = re.findall(r"[^\W_]+(?:'[^\W_]+)?", clause)
+        read = []
+        for t in tokens:
+            found = [terms[t[:n]] for n in range(3, len(t) + 1) if t[:n] in terms and (n == len(t) or not terms[t[:n]][1])]
+            bare = t.replace("'", "")
+            best = max(found, key=lambda x: x[0], default=(0, 0, "G" if t in toxicity.TARGETS else "N" if bare in toxicity.NEGATIONS else "R" if bare in toxicity.REPORTING else "F"))
+            read.append((best[0], best[2]))
+        kinds = [k for _, k in read]
+        for i, (w, k) in enumerate(read):
+            if k not in "IV":
+                continue
+            factor = 0.3 if "N" in kinds[max(0, i - 3) : i] else 1.0
+            factor *= 0.6 if "R" in kinds[:i] else 1.0
+            if k == "I":
+                factor *= 1.5 if "G" in kinds[max(0, i - 3) : i] or "G" in kinds[i + 1 : i + 4] else 1.0
+            elif "G" not in kinds[i + 1 : i + 5]:
+                factor = 0.0
+            total += w * factor
+    return total
+
+
+def test_toxicity_grammar_by_plain_means():
+    rng = np.random.default_rng(12)
+    pool = ["you", "not", "said", "idiot", "kill", "stupidity", "the", "house", "isn't", "them", "scum", "hurt", ".", ";", "walks", "no", "never", "moron's", "he"]
+    terms = toxicity.fixed_terms() | {"walk": (2.0, False, "I"), "house": (1.5, True, "I")}
+    g = toxicity.Grammar(terms)
+    for _ in range(400):
+        text = " ".join(rng.choice(pool, int(rng.integers(0, 25))))
+        assert abs(g.score(text) - plain_score(text, terms)) < 1e-9, text
+
+
+def test_toxicity_of_long_texts():
+    """Clauses are found in linear time."""
+    import time
+
+    g, began = toxicity.Grammar(toxicity.fixed_terms()), time.time()
+    assert g.score("you idiot, " * 20_000 + "x. " * 200_000 + "the scum. " * 100_000) > 0 and time.time() - began < 15
+
+
+def test_toxicity_clashing_columns(spark):
+    docs = docs_of(spark, [(1, "you idiot"), (2, "fine")]).withColumns({c: F.lit(c) for c in ("toxic", "raw", "_id", "id", "score", "predicted")})
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    out = toxicity.score_documents(docs, toxicity.fit(docs, labels))
+    assert out.columns == ["doc_id", "text", "toxic", "raw", "_id", "id", "score", "predicted"] and out.first()["raw"] == "raw"
+
+
 def test_toxicity_learns(spark):
     rng = np.random.default_rng(6)
     noise = [f"n{i}ab" for i in range(400)]
@@ -350,9 +489,12 @@ def test_repeats(spark):
     base = "".join(rng.choice(list("abcd ef\n"), 1500))
     texts = ["a" * 1000, "a" * 199, "a" * 200, base[:700], base[300:900] + "x" + base[900:1300], base[100:299], base[100:300], "é" * 150, None, "", base[:700], "xyz" * 300]
     texts += [base[i : i + 250] + f"tail {i}" + "".join(rng.choice(list("ghij"), 90)) for i in range(0, 400, 37)]
-    out = repeats.remove_repeats(docs_of(spark, list(enumerate(texts)))).drop("spans", "kept").toPandas().sort_values("doc_id")
-    got = [tuple(r) for r in out[["n_bytes", "n_removed", "n_spans", "kept_sha256"]].itertuples(index=False)]
-    assert got == plain_repeats([(t or "").encode() for t in texts], 200)
+    texts += [f"{i} " + "a common line of every document " * 7 + "".join(rng.choice(list("klmn"), 50)) for i in range(40)] + ["".join(rng.choice(list("opqr"), 40_000))]
+    ids = [None if i % 5 == 0 else i // 2 for i in range(len(texts))]
+    df = docs_of(spark, list(zip(ids, texts, strict=True))).withColumn("tkey", F.lit("mine")).withColumn("edges", F.lit(1))
+    out = repeats.remove_repeats(df).drop("spans", "kept").collect()
+    want = [(i, *r) for i, r in zip(ids, plain_repeats([(t or "").encode() for t in texts], 200), strict=True)]
+    assert collections.Counter(map(tuple, out)) == collections.Counter(want)
     assert repeats.remove_repeats(docs_of(spark, [])).count() == 0
 
 
@@ -374,6 +516,115 @@ def test_bloom_has_no_false_negatives(spark):
     assert sorted(out) == list(range(5000))
 
 
+def test_url_filter_list_decides(spark):
+    """Listed URLs are blocked in any spelling where no rule speaks; input columns with the operator's inner names are kept."""
+    rows = [(1, "http://casino-x.example.net/en/5.html"), (2, "https://www.casino-x.example.net/en/5?a=1"), (3, "http://casinos.example.net/en/5"), (4, None), (5, "http://h/" + "p" * 100_000), (6, "https://h/" + "p" * 100_000 + "/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit(c) for c in ("canon", "h", "block", "possible", "w0", "w7", "listed", "page")})
+    out = url_filter.filter_urls(pages, url_filter.listed_urls(pages).unionByName(spark.createDataFrame([("h/" + "p" * 100_000,), ("",), (None,)], "canon string")))
+    assert {r["page_id"]: (r["verdict"], r["listed"]) for r in out.collect()} == {1: ("block", True), 2: ("block", True), 3: ("allow", False), 4: ("allow", False), 5: ("block", True), 6: ("block", True)}
+    assert out.columns == ["page_id", "url", "canon", "h", "block", "possible", "w0", "w7", "page", "host", "path", "rule", "verdict", "listed"]
+    assert out.first()["w0"] == "w0"
+
+
+def plain_simhash(text, k=5):
+    """The fingerprint by whole numbers alone."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+
+    letter, place = [int(x) for x in kernels.LETTER], [int(x) for x in kernels.PLACE]
+    h = []
+    for w in words((text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))):
+        x, power = 0, 1
+        for c in w.encode():
+            x, power = (x + letter[c] * power) & mask, power * kernels.BASE & mask
+        h.append(mix(x))
+    if len(h) >= k:
+        runs = [mix(sum(h[i + j] * place[j] for j in range(k)) & mask) for i in range(len(h) - k + 1)]
+    else:
+        runs = [mix((sum(x * p for x, p in zip(h, place)) + place[32 + len(h)]) & mask)] if h else []
+    out = 0
+    for word in (0, 1):
+        votes = [0] * 64
+        for r in runs:
+            x = mix((r + place[8 + word]) & mask)
+            for bit in range(64):
+                votes[bit] += 1 if x >> bit & 1 else -1
+        for byte in range(8):  # bytes as they lie in memory, the highest bit of each first
+            for bit in range(7, -1, -1):
+                out = out << 1 | (votes[8 * byte + bit] > 0)
+    return f"{out:032x}"
+
+
+def test_fingerprints_by_plain_means(spark):
+    """All columns, with null and repeated ids, rows alike in all, and more of them than a range holds."""
+    rng = np.random.default_rng(11)
+    pool = [f"w{i}" for i in range(40)]
+    rows = [(int(i), " ".join(rng.choice(pool, int(rng.integers(0, 30))))) for i in rng.integers(0, 60, 120)] + [(None, f"none {i} x y z q") for i in range(8)] + [(9, "é same here é")] * 30 + [(61, None), (62, ""), (63, "Long one " * 3000)]
+    df = docs_of(spark, rows).withColumn("part", F.lit("mine")).withColumn("h", F.lit(0))
+    out = fingerprints.fingerprint_documents(df, range_rows=10, hot_rows=20).collect()
+    assert len(out) == len(rows)
+    prints = {t: plain_simhash(t) for _, t in rows}
+    order = collections.Counter()
+    like = lambda a, b: 1 - (int(a, 16) ^ int(b, 16)).bit_count() / 128
+    by_print = collections.defaultdict(set)
+    for d, t in rows:
+        by_print[d, prints[t], len(t or "")].add(t or "")
+    nexts = collections.Counter()
+    for r in out:
+        candidates = by_print[r["doc_id"], r["fingerprint"], r["n_chars"]]
+        ok = False
+        for t in candidates:
+            for nd, nt in rows:
+                if nd != r["next_id"]:
+                    continue
+                half = len(t) // 2
+                e = t[: len(t) - half] + (nt or "")[:half]
+                if hashlib.sha256(e.encode()).hexdigest() == r["edited_sha256"] and r["edited_fingerprint"] == plain_simhash(e) and abs(r["near_edited"] - like(prints[t or ""] if t in prints else prints[None], r["edited_fingerprint"])) < 1e-12 and abs(r["near_next"] - like(r["fingerprint"], prints[nt])) < 1e-12:
+                    ok = True
+        assert ok, r
+        nexts[r["next_id"]] += 1
+        order[r["doc_id"]] += 1
+    # each row is followed once: as often as an id stands, it is a successor
+    assert nexts == order == collections.Counter(d for d, _ in rows)
+    ids = sorted({d for d, _ in rows if d is not None}, reverse=True)
+    last = {d: [r["next_id"] for r in out if r["doc_id"] == d and r["next_id"] != d] for d in ids}
+    assert all(last[a] == [b] for a, b in zip(ids, ids[1:], strict=False))
+
+
+def test_near_fingerprints(spark, monkeypatch):
+    """Counts and classes of fingerprints within three bits, in chains and in groups larger than a tile, as by comparing all."""
+    monkeypatch.setattr(fingerprints, "TILE", 16)
+    rng = np.random.default_rng(13)
+    x = [int.from_bytes(rng.bytes(16)) for _ in range(40)]
+    for start in x[:4]:  # chains of small steps
+        v = start
+        for _ in range(6):
+            v ^= 1 << int(rng.integers(128))
+            x.append(v)
+    hub = int.from_bytes(rng.bytes(16))
+    x += [hub ^ (1 << i) for i in range(0, 128, 2)] + [hub]
+    ids = {f"{v:032x}": i for i, v in enumerate(x)}
+    rows = [(i, h) for h, i in ids.items()] + [(1000 + i, h) for i, h in enumerate(list(ids)[:9])] + [(None, list(ids)[0])]
+    out = fingerprints.with_near(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()
+    keys = list(ids)
+    near = {a: [b for b in keys if a != b and (int(a, 16) ^ int(b, 16)).bit_count() <= 3] for a in keys}
+    root = {}
+    for a in keys:
+        seen, todo = {a}, [a]
+        while todo:
+            for b in near[todo.pop()]:
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        root[a] = min(ids[b] for b in seen)
+    assert len(out) == len(rows) and all(r["n_near"] == len(near[r["fingerprint"]]) and r["class_id"] == root[r["fingerprint"]] for r in out)
+    assert fingerprints.with_near(spark.createDataFrame([], "doc_id long, fingerprint string")).count() == 0
+
+
 def test_fingerprints(spark):
     rows = [r for r in ODD if r[0] is not None] + [(i, f"doc {i} " + "common words here again and again " * (i % 5)) for i in range(50, 90)]
     out = fingerprints.fingerprint_documents(docs_of(spark, rows)).toPandas()
@@ -402,6 +653,41 @@ def test_fingerprint_search(spark):
     assert out == want
 
 
+def test_topk_phases():
+    """The cutoff keeps every row that reaches the bound, and leaves out most others; what is gathered gives a safe bound."""
+    rng = np.random.default_rng(21)
+    for _ in range(50):
+        partial, ids = rng.integers(-1000, 1000, (4, 3000)), rng.permutation(3000)
+        total = partial.sum(axis=0)
+        met = topk.gathered(partial[:, :300], ids[:300], 20)
+        assert len(met) <= 80
+        bound = int(np.sort(total[met])[-20])
+        assert (total >= bound).sum() >= 20
+        enough = topk.sufficient(partial, bound)
+        assert set(np.flatnonzero(total >= bound)) <= set(enough) and len(enough) < len(ids)
+        best = topk.best_rows(total[enough], ids[enough], 20)
+        assert enough[best].tolist() == topk.best_rows(total, ids, 20).tolist()
+
+
+def test_packing_is_best_fit():
+    """Classes of equal pieces packed at once, against a plain search piece by piece: as many sequences, of the same contents' sizes."""
+    rng = np.random.default_rng(22)
+    for docs, cost in ((1024, 1024**2), (4, 1024**2), (1024, 60_000)):
+        lengths = sorted(rng.integers(1, 240, 300).tolist(), reverse=True)
+        plan = packing.Plan(collections.Counter(lengths), 1024, docs, cost)
+        weights, caps, open_ = (1.0, 0.01, 0.01), (1024, docs, cost), []
+        for n in lengths:
+            item = (n, 1, n * n)
+            fits = [(sum(w * ((r - i) / c) ** 2 for w, r, i, c in zip(weights, rest, item, caps, strict=True)), j) for j, rest in enumerate(open_) if all(r >= i for r, i in zip(rest, item, strict=True))]
+            if fits:
+                j = min(fits)[1]
+            else:
+                open_.append(list(caps))
+                j = len(open_) - 1
+            open_[j] = [r - i for r, i in zip(open_[j], item, strict=True)]
+        assert plan.n_sequences == len(open_)
+
+
 def test_queries_have_results(spark):
     from corpusmill.llm.queries import QUERIES
 
