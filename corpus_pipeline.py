@@ -1,6 +1,8 @@
 """A training corpus from raw documents: toxic ones out, near-duplicates out, personal data generalised, sources mixed, sequences packed.
 
-Each stage takes what its predecessor kept, as Parquet. All but the last return the columns of documents.
+Each stage takes what its predecessor kept, as Parquet. All but the last return the columns of documents, and any others that
+the input has, whatever their names. In all stages repeated rows and null or repeated ids are rows like others, texts are
+read whole however long, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,31 +30,41 @@ def _widened(df: DataFrame, docs: DataFrame, *own: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score under 0.5. The model is fitted on this stage's own input and the labels."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    """Documents with a toxicity score under 0.5. The model is fitted on this stage's own input and the labels.
+
+    Null and empty texts have the score of a text without any match and stay; without labels the fixed words alone count.
+    """
+    model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return _widened(toxicity.score_documents(_narrow(docs, "doc_id", "text"), model).where("predicted = 0"), docs, "doc_id", "text")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, similarity 0.8 or more), the smallest doc_id."""
+    """One document of each group of near-duplicates (five words, similarity 0.8 or more), the smallest doc_id.
+
+    Null, empty and blank texts are like nothing and stay. Rows without an id go before none with one; of rows alike in id and
+    text all stay where the id isn't null, one where it is.
+    """
     return near_dedup.keep_one(docs)
 
 
 def generalise_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and terms that disclose it give way to the name of their kind."""
+    """Personal data and terms that disclose it give way to the name of their kind. Null texts stay null, all rows stay."""
     found = pii.find_pii(_narrow(docs, "doc_id", "text"))
     return _widened(found.withColumn("text", pii.sanitized(found)), docs, "doc_id", "text")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; one that the budget ends in is cut to its first words."""
+    """Documents as often as the mix takes them; one that the budget ends in is cut to its first words.
+
+    Texts without words (null, too) weigh nothing and are taken by no mix; a null source is a source.
+    """
     own = ("doc_id", "text", "source")
     return _widened(mixing.apply_mix(mixing.mix_to_weights(_narrow(docs, *own)), [*own, "_rest"]), docs, *own)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of 1024 tokens at most."""
-    return packing.pack_documents(docs, added=packing.ADDED)
+    """The pieces of all documents with their places in sequences of 1024 tokens at most; a null text is an empty one."""
+    return packing.pack_documents(docs)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
