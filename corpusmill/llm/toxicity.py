@@ -37,6 +37,8 @@ TARGETS = frozenset("you your yours yourself u ur he him his she her they them t
 NEGATIONS = frozenset("not no never none nobody isnt arent wasnt dont doesnt didnt cannot cant without hardly".split())
 REPORTING = frozenset("said says say saying told tells wrote writes quoted quote quotes claimed claims alleged allegedly called reportedly according".split())
 SCOPE = 3
+#: Made-up labelled rows on either side.
+PRIOR = 8
 _CLAUSE = re.compile(r"[.!?;:\n\r]")
 _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 
@@ -211,10 +213,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str =
     texts = cut(own_docs.join(F.broadcast(chosen), own_docs["id"] == chosen["_id"]).select("toxic", "text"), "labelled")
     terms = fixed_terms() | learned_terms(texts)
     pairs = raw_scores(texts, terms, "text", "x").select("x", "toxic").orderBy("x", "toxic").limit(2 * sample).collect()  # bounded by the sample, but for repeated ids
-    if len({r["toxic"] for r in pairs}) == 2:
-        slope, intercept = fit_logistic(np.array([r["x"] for r in pairs]), np.array([float(r["toxic"]) for r in pairs]))
-    else:
-        slope, intercept = 1.0, -2.0
+    # a few made-up rows on either side, so that a handful of labels (or one class alone) can't turn texts without a match toxic
+    x = np.array([*[0.0] * PRIOR, *[6.0] * PRIOR, *(r["x"] for r in pairs)])
+    y = np.array([*[0.0] * PRIOR, *[1.0] * PRIOR, *(float(r["toxic"]) for r in pairs)])
+    slope, intercept = fit_logistic(x, y)
     return {"terms": terms, "slope": slope, "intercept": intercept}
 
 
