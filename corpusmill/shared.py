@@ -61,6 +61,13 @@ def cut(df: DataFrame, name: str, sort_by: list[str] | None = None) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_cut(*written: DataFrame) -> None:
+    """Deletes tables that `cut` wrote and that nothing will read again."""
+    for df in written:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
+            delete(df.sparkSession, folder)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
