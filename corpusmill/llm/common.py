@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..shared import cut, hot_join, shared_dir, small  # noqa: F401 - one place for the operators
+from ..shared import cut, drop_cut, hot_join, shared_dir, small  # noqa: F401 - one place for the operators
 
 #: ASCII white space that separates words, as a character class for Java's and RE2's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -6,10 +6,11 @@ fall into runs that share an anchor, and a run's context (the bytes that its win
 
 1. Each text gives (anchor, context, place) for its runs - about one for every (length - k) / 2 bytes.
 2. Anchors that stand at one place only are done. Contexts that stand at several places are repeated in full.
-3. Where an anchor has different contexts, their windows go through 1 and 2 again with longer k-grams, and what is still
-   open is compared window by window, by hashes.
+3. Where an anchor has different contexts, the bytes of their windows are cut out of the texts, once. These pieces go through
+   1 and 2 again with longer k-grams, and what is still open is compared window by window, by hashes.
 4. Repeated windows become spans of their text, and the spans are cut out.
 
+So the texts themselves meet other rows twice: for the pieces and for the spans. Tables that a step has used up are deleted.
 All steps are counts, minima and joins with partial aggregation; an anchor, a context or a text that many rows share is
 joined where its rows are (hot_join), so a passage or line in a third of all documents isn't gathered anywhere. Hashes are 64-bit polynomials of the bytes; see README for why the columns of a collection-wide suffix
 order aren't built one after the other.
@@ -29,13 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks_of, cut, hot_join, small, table
+from .common import blocks_of, cut, drop_cut, hot_join, table
 from .kernels import joined, mix, prefix_sums, span_hashes
 
 U = np.uint64
 _PLACE_BITS = 25
-#: Bytes that are broadcast at most; what is larger is joined by a shuffle.
-BROADCAST = 8 << 20
 
 
 def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
@@ -106,65 +105,98 @@ def merged_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_ranges(docs: DataFrame, length: int, grams: tuple[int, ...], text_col: str) -> DataFrame:
+RUNS = "tkey long, piece int, start int, n int, anchor long, context long"
+
+
+def anchored(source: DataFrame, length: int, k: int) -> DataFrame:
+    """RUNS of all pieces in source (tkey, piece: where it begins in its text, data), with `place`, a hash of text and start."""
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, shift = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            data = batch.column(2).to_pylist()
+            for a, b in blocks_of(data):
+                doc, first, count, grams, contexts = runs_of_windows(data[a:b], length, k)
+                arrays = [pa.array(x) for x in (keys[a + doc], shift[a + doc], (shift[a + doc] + first).astype(np.int32), count.astype(np.int32), grams, contexts)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["tkey", "piece", "start", "n", "anchor", "context"])
+
+    return cut(source.select("tkey", "piece", "data").mapInArrow(anchors, RUNS), "anchors").withColumn("place", F.xxhash64("tkey", "start"))
+
+
+def _ends() -> tuple:
+    return F.min("place").alias("low"), F.max("place").alias("high")
+
+
+def judged(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(runs whose windows all stand elsewhere too, runs whose windows have to be looked at more closely). Runs found once are done."""
+    several = cut(rows.groupBy("anchor").agg(*_ends(), F.count("*").alias("rows")).where("low != high").select("anchor", "rows"), "several")
+    shared = cut(hot_join(rows, several, ["anchor"], "rows", "left_semi"), "shared")
+    contexts = cut(shared.groupBy("anchor", "context").agg(*_ends(), F.count("*").alias("rows")), "contexts")
+    open_ = contexts.groupBy("anchor").agg(F.count("*").alias("all"), F.count_if(F.col("low") == F.col("high")).alias("single")).withColumn("open", (F.col("all") > 1) & (F.col("single") > 0)).select("anchor", "open", "all")
+    open_ = cut(open_, "open")
+    told = cut(hot_join(contexts, open_, ["anchor"], "all").where("low != high or open"), "told")
+    out = cut(hot_join(shared, told, ["anchor", "context"], "rows").select("tkey", "piece", "start", "n", "low", "high", "place", "open"), "judged")
+    drop_cut(rows, several, shared, contexts, open_, told)
+    # of a repeated context one place stands for all
+    return out.where("low != high").select("tkey", "start", "n"), out.where("open and (low = high or place = low)").select("tkey", "piece", "start", "n")
+
+
+def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Of (tkey, piece, data, ranges) the bytes of the windows in the ranges, in runs that don't overlap."""
+    for batch in batches:
+        keys, starts, out = [], [], []
+        for key, piece, data, ranges in zip(*(batch.column(c).to_pylist() for c in ("tkey", "piece", "data", "ranges")), strict=True):
+            for a, n in merged_ranges([(r["start"], r["n"]) for r in ranges]):
+                keys.append(key)
+                starts.append(a)
+                out.append(data[a - piece : a - piece + n - 1 + length])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(out, pa.binary())], names=["tkey", "piece", "data"])
+
+
+def repeated_ranges(docs: DataFrame, copies: DataFrame, length: int, grams: tuple[int, ...]) -> DataFrame:
     """(tkey, start, n): n windows of the text with this key, from start on, stand elsewhere too. Exact copies don't count.
 
-    Each length in grams is a level: what contexts at one level leave open goes to the next, whose longer anchors are rarer
-    and whose contexts are shorter; what the last leaves open is compared window by window.
+    docs: (tkey, data). copies: (tkey, c), how many rows have a text. Each length in grams is a level: what contexts at one
+    level leave open goes to the next, whose longer anchors are rarer and whose contexts are shorter; what the last leaves
+    open is compared window by window.
     """
-    keyed = docs.select(F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text")).where(F.octet_length("text") >= length)
-    ends = F.min("place").alias("low"), F.max("place").alias("high")
-
-    def anchors_of(k: int):
-        def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys, texts = batch.column(0).to_numpy(), [x.encode() for x in batch.column(1).to_pylist()]
-                shift = np.zeros(len(texts), dtype=np.int64)
-                if batch.num_columns > 2:  # only the windows in these ranges, each range as a text of its own
-                    parts = [(i, a, n) for i, r in enumerate(batch.column(2).to_pylist()) for a, n in merged_ranges([(x["start"], x["n"]) for x in r])]
-                    which = np.array([i for i, _, _ in parts], dtype=np.int64)
-                    keys, shift, texts = keys[which], np.array([a for _, a, _ in parts], dtype=np.int64), [texts[i][a : a + n - 1 + length] for i, a, n in parts]
-                for a, b in blocks_of(texts):
-                    doc, first, count, grams_, contexts = runs_of_windows(texts[a:b], length, k)
-                    arrays = [pa.array(x) for x in (keys[a + doc], (shift[a + doc] + first).astype(np.int32), count.astype(np.int32), grams_, contexts)]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["tkey", "start", "n", "anchor", "context"])
-
-        return anchors
-
-    wholes, source = [], keyed
+    pieces_of = lambda x: x.mapInArrow(lambda batches: _cut_out(batches, length), "tkey long, piece int, data binary")
+    whole = docs.where(F.octet_length("data") >= length).withColumn("piece", F.lit(0))
+    wholes, source, last = [], whole, None
     for k in grams:
-        rows = cut(source.mapInArrow(anchors_of(k), "tkey long, start int, n int, anchor long, context long"), "anchors").withColumn("place", F.xxhash64("tkey", "start"))
-        several = cut(rows.groupBy("anchor").agg(*ends, F.count("*").alias("rows")).where("low != high").select("anchor", "rows"), "several")
-        shared = cut(hot_join(rows, several, ["anchor"], "rows", "left_semi"), "shared")
-        contexts = cut(shared.groupBy("anchor", "context").agg(*ends, F.count("*").alias("rows")), "contexts")
-        open_ = contexts.groupBy("anchor").agg(F.count("*").alias("all"), F.count_if(F.col("low") == F.col("high")).alias("single")).withColumn("open", (F.col("all") > 1) & (F.col("single") > 0)).select("anchor", "open", "all")
-        contexts = cut(hot_join(contexts, cut(open_, "open"), ["anchor"], "all").where("low != high or open"), "contexts")
-        judged = cut(hot_join(shared, contexts, ["anchor", "context"], "rows").select("tkey", "start", "n", "low", "high", "place", "open"), "judged")
-        wholes.append(judged.where("low != high").select("tkey", "start", "n"))
-        # of a repeated context one place stands for all
-        left = judged.where("open and (low = high or place = low)").groupBy("tkey").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
-        source = keyed.join(small(cut(left, "left"), BROADCAST), "tkey").select("tkey", "text", "ranges")
+        repeated, left = judged(anchored(source, length, k))
+        wholes.append(repeated)
+        if last is None:
+            ranges = left.groupBy("tkey").agg(F.collect_set(F.struct("start", "n")).alias("ranges")).join(copies.select("tkey", "c"), "tkey")
+            met = hot_join(whole, cut(ranges, "left"), ["tkey"], "c")
+            source = cut(pieces_of(met).dropDuplicates(["tkey", "piece"]), "pieces")
+        else:
+            ranges = left.groupBy("tkey", "piece").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
+            source = cut(pieces_of(source.join(ranges, ["tkey", "piece"])), "pieces")
+            drop_cut(last)
+        last = source
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text, ranges in zip(batch.column("tkey").to_pylist(), batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-                starts, hashes = window_hashes(text.encode(), [(r["start"], r["n"]) for r in ranges], length)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), key)), pa.array(starts.astype(np.int32)), pa.array(hashes)], names=["tkey", "start", "window"])
+            for key, piece, data in zip(*(batch.column(c).to_pylist() for c in ("tkey", "piece", "data")), strict=True):
+                starts, hashes = window_hashes(data, [(0, len(data) - length + 1)], length)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), key)), pa.array((starts + piece).astype(np.int32)), pa.array(hashes)], names=["tkey", "start", "window"])
 
     single = cut(source.mapInArrow(windows, "tkey long, start int, window long"), "windows").withColumn("place", F.xxhash64("tkey", "start"))
-    again = cut(single.groupBy("window").agg(*ends, F.count("*").alias("rows")).where("low != high").select("window", "rows"), "again")
+    again = cut(single.groupBy("window").agg(*_ends(), F.count("*").alias("rows")).where("low != high").select("window", "rows"), "again")
     out = hot_join(single, again, ["window"], "rows", "left_semi").select("tkey", "start", F.lit(1).alias("n"))
-    for whole in wholes:
-        out = out.unionByName(whole)
+    for whole_ in wholes:
+        out = out.unionByName(whole_)
     return out
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, grams: tuple[int, ...] = (64, 150, 190), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of start, end in bytes) and kept (the bytes that stay)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    copies = docs.where(F.octet_length("text") >= length).groupBy(F.xxhash64("text").alias("tkey")).agg(F.count("*").alias("c"), F.max(F.octet_length("text")).alias("bytes"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).cast("binary").alias("data"))
+    keyed = docs.withColumn("tkey", F.xxhash64("data"))
+    copies = cut(keyed.where(F.octet_length("data") >= length).groupBy("tkey").agg(F.count("*").alias("c"), F.max(F.octet_length("data")).alias("bytes")), "copies")
     copied = copies.where("c > 1").select("tkey", F.lit(0).alias("start"), (F.col("bytes") - length + 1).alias("n"))
-    ranges = repeated_ranges(docs, length, grams, "text").unionByName(copied)
+    ranges = repeated_ranges(keyed.select("tkey", "data"), copies, length, grams).unionByName(copied)
     of_text = ranges.groupBy("tkey").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,13 +205,13 @@ def remove_repeats(docs: DataFrame, length: int = 200, grams: tuple[int, ...] =
             yield pa.RecordBatch.from_arrays([batch.column("tkey"), pa.array(spans, pa.list_(pa.int32()))], names=["tkey", "edges"])
 
     # a few numbers for each text, however many windows there were
-    spans = cut(of_text.mapInArrow(merge, "tkey long, edges array<int>"), "spans")
+    spans = cut(of_text.mapInArrow(merge, "tkey long, edges array<int>").join(copies.select("tkey", "c"), "tkey"), "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, inner in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("edges").to_pylist(), strict=True):
-                data, inner = text.encode(), inner or []
+            for doc, data, inner in zip(batch.column("doc_id").to_pylist(), batch.column("data").to_pylist(), batch.column("edges").to_pylist(), strict=True):
+                inner = inner or []
                 edges = [0, *inner, len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 out.append((doc, len(data), len(data) - len(kept), len(inner) // 2, hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in zip(inner[::2], inner[1::2], strict=True)], kept))
@@ -188,7 +220,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, grams: tuple[int, ...] =
             columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    placed = docs.withColumn("tkey", F.xxhash64("text")).join(small(spans, BROADCAST), "tkey", "left").select("doc_id", "text", "edges")
+    placed = hot_join(keyed, spans, ["tkey"], "c", "left").select("doc_id", "data", "edges")
     return placed.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>, kept binary")
 
 
