@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, small, table
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: What the contract's patterns match, with possessive loops and without starts inside a run that must fail.
@@ -120,12 +120,16 @@ def bare(text: str) -> str:
     return covered(text, PATTERNS, "repeat(' ', s.end - s.start)", "repeat(' ', greatest(0, s.end - before))")
 
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text", alpha: float = 0.9, broadcast_rows: int = 500_000) -> DataFrame:
-    """(tkey, terms): for texts with terms that disclose an entity of any text, those terms. tkey is xxhash64 of the text."""
-    texts = docs.select(F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text")).where("text is not null").dropDuplicates(["tkey"])
+def disclosing_terms(docs: DataFrame, text_col: str = "text", alpha: float = 0.9) -> DataFrame:
+    """(tkey, terms): for texts with terms that disclose an entity of any text, those terms. tkey is xxhash64 of the text.
+
+    Words are taken from the texts where they lie; what is shuffled to leave out copies are a text's different words, not the
+    text. Terms meet by their 64-bit hashes.
+    """
+    texts = docs.select(F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text")).where("text is not null")
     found = with_base(texts).select("tkey", F.array_distinct(F.transform(entities(), lambda e: e.entity)).alias("entities"), F.expr(bare("text")).alias("text"))
     words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))
-    texts = cut(found.select("tkey", "entities", words.alias("terms")), "text-terms")
+    texts = cut(found.select("tkey", "entities", words.alias("terms")).dropDuplicates(["tkey"]), "text-terms")
     n_texts = texts.count()
     own = texts.where(F.size("entities") > 0)
     mentions = own.select("tkey", F.explode("entities").alias("entity"))
@@ -139,15 +143,14 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", alpha: float = 0.9
     # n_both is n_entity at most, so only terms of so many texts can pass (and a little more, for rounding)
     most = F.pow(F.col("n_entity"), F.lit(alpha)) * float(max(n_texts, 1)) ** (1 - alpha) * (1 + 1e-9)
     top = mentions.agg(F.max(most)).first()[0] or 0.0
-    each = F.explode("terms").alias("term")
+    each = F.explode(F.transform("terms", lambda t: F.xxhash64(t))).alias("term")
     n_term = texts.select((F.size("entities") > 0).cast("long").alias("own"), each).groupBy("term").agg(F.count("*").alias("n_term"), F.sum("own").alias("own"))
     n_term = cut(n_term.where((F.col("own") > 0) & (F.col("n_term") <= top)).select("term", "n_term"), "terms-counted")
-    rare = F.broadcast(n_term) if n_term.count() <= broadcast_rows else n_term
-    both = own.select("tkey", each).join(rare, "term").join(mentions, "tkey").where(F.col("n_term") <= most)
+    both = own.select("tkey", each).join(small(n_term), "term").join(mentions, "tkey").where(F.col("n_term") <= most)
     pairs = both.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
     telling = cut(pairs.where(pmi >= alpha * carries).select("term").distinct(), "telling")
-    telling = F.broadcast(telling) if telling.count() <= broadcast_rows else telling
-    return texts.select("tkey", each).join(telling, "term", "left_semi").groupBy("tkey").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    words = texts.select("tkey", F.explode("terms").alias("word")).withColumn("term", F.xxhash64("word"))
+    return words.join(small(telling), "term", "left_semi").groupBy("tkey").agg(F.sort_array(F.collect_set("word")).alias("terms"))
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", broadcast_mb: int = 16, **how) -> DataFrame:
