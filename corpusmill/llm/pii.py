@@ -123,13 +123,12 @@ def bare(text: str) -> str:
 def disclosing_terms(docs: DataFrame, text_col: str = "text", alpha: float = 0.9) -> DataFrame:
     """(tkey, terms): for texts with terms that disclose an entity of any text, those terms. tkey is xxhash64 of the text.
 
-    Words are taken from the texts where they lie; what is shuffled to leave out copies are a text's different words, not the
-    text. Terms meet by their 64-bit hashes.
+    Terms meet by their 64-bit hashes, small sets of them by a broadcast, others (16 MB and more) by a shuffle.
     """
-    texts = docs.select(F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text")).where("text is not null")
+    texts = docs.select(F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text")).where("text is not null").dropDuplicates(["tkey"])
     found = with_base(texts).select("tkey", F.array_distinct(F.transform(entities(), lambda e: e.entity)).alias("entities"), F.expr(bare("text")).alias("text"))
     words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))
-    texts = cut(found.select("tkey", "entities", words.alias("terms")).dropDuplicates(["tkey"]), "text-terms")
+    texts = cut(found.select("tkey", "entities", words.alias("terms")), "text-terms")
     n_texts = texts.count()
     own = texts.where(F.size("entities") > 0)
     mentions = own.select("tkey", F.explode("entities").alias("entity"))
