@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,7 +47,7 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def blocks_of(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def blocks_of(texts: list[bytes], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Cuts a list into runs of about `most` bytes in all; a longer text is a run of its own."""
     at = size = 0
     for i, x in enumerate(texts):
@@ -54,3 +57,21 @@ def blocks_of(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, in
         size += len(x) + 1
     if at < len(texts):
         yield at, len(texts)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches; at the end the worker, which may wait idle for a later stage, gives back what it no longer uses."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+    release()
+
+
+def release() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import numbered
-from .common import blocks_of, cut, hot_join, small, table
+from .common import blocks_of, cut, hot_join, slices, small, table
 from .graph import components
 from .kernels import shingles, simhash
 
@@ -111,7 +111,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the row that still waits for its successor: (part, doc_id, text, fingerprint)
-        for batch in batches:
+        for batch in slices(batches):
             parts, extras, ids, texts = (batch.column(c).to_pylist() for c in ("part", "extra", "doc_id", "text"))
             prints = fingerprints_of(texts)
             out, new = [], []
@@ -137,7 +137,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, next_id long"
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows whose successor is alike."""
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             prints, new = fingerprints_of(texts), [edited(t, t) for t in texts]
             marks = fingerprints_of(new)

@@ -40,7 +40,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n, kept per process."""
     if not _powers or len(_powers["up"]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
             x = np.full(size, U(base))
             x[0] = U(1)

@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks_of, cut, free_name, hot_join, table
+from .common import blocks_of, cut, free_name, hot_join, release, slices, table
 from .graph import components
 from .kernels import band_keys, circulant, set_hash, shingles
 
 #: Sets of a crowd that are compared at once, and bytes of them.
-TILE, TILE_BYTES = 4096, 64 << 20
+TILE, TILE_BYTES = 4096, 24 << 20
 
 
 def _row_key(id_col: str, text_col: str):
@@ -46,7 +46,7 @@ def sketches(docs: DataFrame, k: int, n_hashes: int, rows: int, seed: int, id_co
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         circle = circulant(n_hashes, seed)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [(x or "").encode() for x in batch.column(2).to_pylist()]
             sizes, keys, bands = [], [], []
             for a, b in blocks_of(texts):
@@ -68,7 +68,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     """The pairs (u, v) of sets with 100 * intersection >= percent * union."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             left, right = ([x.encode() for x in batch.column(c).to_pylist()] for c in ("text_u", "text_v"))
             keep = []
             for a, b in blocks_of(left):
@@ -89,7 +89,7 @@ def set_table(texts: DataFrame, k: int) -> DataFrame:
     """(set_key, shingles): each text's set as sorted 64-bit hashes."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             data = [x.encode() for x in batch.column(1).to_pylist()]
             sets = [np.unique(x).tobytes() for a, b in blocks_of(data) for x in shingles(data[a:b], k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["set_key", "shingles"])
@@ -137,6 +137,9 @@ def across(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     hit = hit[np.unique(comp[hit], return_index=True)[1]]
                     us += [keys[i]] * len(hit)
                     vs += keys[hit].tolist()
+        del sets
+        if rows.nbytes > 8 << 20:
+            release()
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return dealt.groupBy("lead", "a", "b").applyInArrow(compare, "u long, v long")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, table
+from .common import cut, slices, table
 
 #: The same ids as byte_bpe_50k.json of the tokenizers library (tests compare them), from the same vocabulary as ranks.
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -152,7 +152,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int, id_
         if key not in _ids:
             _ids[key] = Ids(tokenizer, added)
         ids, part, seen = _ids[key], TaskContext.get().partitionId(), defaultdict(int)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = ids.of(text or "") + end
@@ -200,7 +200,7 @@ def pack_documents(
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = shared.value
         keys = (steps[:, 0] << 44) + steps[:, 1]
-        for batch in batches:
+        for batch in slices(batches):
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             at = np.searchsorted(keys, (length << 44) + rank, side="right") - 1
             batch = batch.drop_columns(["rank"])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks_of, cut, drop_cut, hot_join, table
+from .common import blocks_of, cut, drop_cut, hot_join, slices, table
 from .kernels import joined, mix, prefix_sums, span_hashes
 
 U = np.uint64
@@ -112,7 +112,7 @@ def anchored(source: DataFrame, length: int, k: int) -> DataFrame:
     """RUNS of all pieces in source (tkey, piece: where it begins in its text, data), with `place`, a hash of text and start."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keys, shift = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             data = batch.column(2).to_pylist()
             for a, b in blocks_of(data):
@@ -143,7 +143,7 @@ def judged(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Of (tkey, piece, data, ranges) the bytes of the windows in the ranges, in runs that don't overlap."""
-    for batch in batches:
+    for batch in slices(batches):
         keys, starts, out = [], [], []
         for key, piece, data, ranges in zip(*(batch.column(c).to_pylist() for c in ("tkey", "piece", "data", "ranges")), strict=True):
             for a, n in merged_ranges([(r["start"], r["n"]) for r in ranges]):
@@ -177,7 +177,7 @@ def repeated_ranges(docs: DataFrame, copies: DataFrame, length: int, grams: tupl
         last = source
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for key, piece, data in zip(*(batch.column(c).to_pylist() for c in ("tkey", "piece", "data")), strict=True):
                 starts, hashes = window_hashes(data, [(0, len(data) - length + 1)], length)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), key)), pa.array((starts + piece).astype(np.int32)), pa.array(hashes)], names=["tkey", "start", "window"])
@@ -200,7 +200,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, grams: tuple[int, ...] =
     of_text = ranges.groupBy("tkey").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             spans = [[x for s in spans_of([(r["start"], r["n"]) for r in ranges], length) for x in s] for ranges in batch.column("ranges").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("tkey"), pa.array(spans, pa.list_(pa.int32()))], names=["tkey", "edges"])
 
@@ -208,7 +208,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, grams: tuple[int, ...] =
     spans = cut(of_text.mapInArrow(merge, "tkey long, edges array<int>").join(copies.select("tkey", "c"), "tkey"), "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for doc, data, inner in zip(batch.column("doc_id").to_pylist(), batch.column("data").to_pylist(), batch.column("edges").to_pylist(), strict=True):
                 inner = inner or []

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, table
+from .common import cut, free_name, slices, table
 
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "imbecile", "vermin", "filth", "parasite")
 THREATS = ("kill", "hurt", "destroy", "beat", "shoot", "stab", "strangle", "murder", "burn", "crush")
@@ -180,7 +180,7 @@ def raw_scores(docs: DataFrame, terms: dict[str, tuple[float, bool, str]], text_
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = _grammar(frozen.value)
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.append_column(name, pa.array([grammar.score(x or "") for x in batch.column(at).to_pylist()], pa.float64()))
 
     return docs.mapInArrow(score, docs.select("*", F.lit(0.0).alias(name)).schema)
