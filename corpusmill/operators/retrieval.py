@@ -110,25 +110,27 @@ def term_weights(docs: DataFrame, k1: float = 1.2, b: float = 0.75, average: flo
     return counts.select(id_col, "term", (c * (k1 + 1) / (c + k1 * (1 - b + b * F.col("n") / average))).alias("weight"))
 
 
-def sparse_scores(docs: DataFrame, query: str, k1: float = 1.2, b: float = 0.75, average: float = 256.0, text_col: str = "text", digits: int = 6) -> tuple[Column, Column]:
-    """(whether a text can hold a term of the query, its score): the terms are counted in the row, so no word is shuffled."""
+def query_terms(query: str) -> dict[str, int]:
+    """The different words of a query with their counts."""
     terms: dict[str, int] = {}
     for w in re.findall(r"\w+", query.lower()):
         terms[w] = terms.get(w, 0) + 1
-    low = F.lower(F.col(text_col))
-    may = reduce(lambda x, y: x | y, (F.contains(low, F.lit(t)) for t in terms))
-    words = F.col("_words")
-    long = k1 * (1 - b + b * F.size(words) / average)
-    count = lambda t: F.size(words) - F.size(F.array_remove(words, t))
-    return may, F.round(reduce(lambda x, y: x + y, (count(t) * (k1 + 1) * n / (count(t) + long) for t, n in terms.items())), digits)
-
-
-def sparse_search_all(docs: DataFrame, queries: list[str], k: int, id_col: str = "doc_id", text_col: str = "text", digits: int = 6) -> DataFrame:
-    """query_no, id, score, rank of every query (a caller's few), in one pass over the texts."""
-    each = [sparse_scores(docs, q, text_col=text_col, digits=digits) for q in queries]
-    held = docs.where(reduce(lambda x, y: x | y, (may for may, _ in each))).select(id_col, T.words(F.col(text_col)).alias("_words"))
-    scores = F.array(*(F.struct(F.lit(i).alias("query_no"), s.alias("score")) for i, (_, s) in enumerate(each)))
-    found = held.select(id_col, F.explode(scores).alias("s")).select("s.query_no", id_col, "s.score").where("score > 0")
+    return terms
+
+
+def sparse_search_all(docs: DataFrame, queries: list[str], k: int, id_col: str = "doc_id", text_col: str = "text", digits: int = 6, k1: float = 1.2, b: float = 0.75, average: float = 256.0) -> DataFrame:
+    """query_no, id, score, rank of every query (a caller's few), in one pass over the texts.
+
+    The terms are counted in the row, so no word is shuffled, and texts that hold none of them aren't taken apart.
+    """
+    asked = [query_terms(q) for q in queries]
+    terms = sorted({t for q in asked for t in q})
+    low, words = F.lower(F.col(text_col)), F.col("_words")
+    held = docs.where(reduce(lambda x, y: x | y, (F.contains(low, F.lit(t)) for t in terms))).select(id_col, T.words(F.col(text_col)).alias("_words"))
+    counted = held.select(id_col, (k1 * (1 - b + b * F.size(words) / average)).alias("_long"), F.array(*(F.size(words) - F.size(F.array_remove(words, t)) for t in terms)).alias("_c"))
+    part = lambda t, n: F.col("_c")[terms.index(t)] * (k1 + 1) * n / (F.col("_c")[terms.index(t)] + F.col("_long"))
+    scores = F.array(*(F.struct(F.lit(i).alias("query_no"), F.round(reduce(lambda x, y: x + y, (part(t, n) for t, n in q.items())), digits).alias("score")) for i, q in enumerate(asked)))
+    found = counted.select(id_col, F.explode(scores).alias("s")).select("s.query_no", id_col, "s.score").where("score > 0")
     return ranked(found, F.desc("score"), ["query_no"], [id_col], k)
 
 
