@@ -24,10 +24,21 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(gaps, F.lit(0.0), lambda s, v: s + v * v)
 
 
-def normalized(a: Column) -> Column:
-    """Unit length; a vector without length stays as it is."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+def normalized(a: Column, length: Column | None = None) -> Column:
+    """Unit length; a vector without length stays as it is. `length` is its norm, where a column holds that already."""
+    if length is None:
+        return F.transform(F.array(norm(a)), lambda n: normalized(a, n))[0]  # the norm once a vector, not once a component
+    return F.transform(a, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(x.cast("double")))
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """As the SQL (DuckDB) rounds doubles: x times 10^digits goes to the nearest whole number, halves away from zero, and negative values end at -0.0.
+
+    F.round takes the decimal form of x instead: other halves, and no -0.0.
+    """
+    y = x * F.lit(10.0**digits)
+    whole = F.when(F.abs(y - F.rint(y)) == 0.5, y + F.signum(y) * 0.5).otherwise(F.rint(y))
+    return F.when(F.abs(y) < F.lit(float("inf")), whole / F.lit(10.0**digits)).otherwise(x)
 
 
 def is_valid(a: Column, dims: int) -> Column:
